@@ -5,17 +5,19 @@ The work is cut so that no group of copies has to meet in one task and no group
 
 1. Documents with equal shingle sets (exact copies) form a class; only its smallest id goes on.
 2. Each class has a signature of 128 minima, read as 32 bands of 4. A link at similarity 0.8 shares no
-   band with probability (1 - 0.8^4)^32 = 5e-8.
-3. Star round: in every bucket each member is paired with the smallest one only, so a bucket of m members
-   gives m - 1 pairs. Pairs that pass the signature check are verified on full sets; verified links give components.
-4. Rest round: a bucket whose members already lie in one component can't change the result. In the other
-   buckets, each pair of members of different components is checked: small buckets by a join, of which a row
-   has at most ``SMALL_BUCKET`` partners; large ones block by block, the members outside the bucket's largest
-   component against all members, ``BLOCK`` at a time. Signatures decide which pairs reach the full sets. So
-   every pair that shares a bucket is in one component already or is tested: nothing is capped or dropped.
-
-Signature check: a pair whose signatures agree in fewer than ``SIG_LEAST`` of 128 places is not verified.
-At similarity 0.8 the agreement has mean 102 and deviation 4.5, so a loss is a case beyond 6 deviations.
+   band with probability (1 - 0.8^4)^32 = 5e-8. A sketch keeps the low byte of each minimum.
+3. Stars: in every bucket each member is paired with the smallest one only, so a bucket of m members gives m - 1
+   pairs. Pairs whose sketches agree make families, the connected components of these pairs.
+4. Families: the members of a family meet with their full shingle sets and links are verified there, only between
+   members that no link connects yet, so a family of m members gives m - 1 links at most. A family beyond
+   ``FAMILY_ROWS`` or ``FAMILY_BYTES`` has its stars verified first; then blocks of the members outside its largest
+   component meet blocks of all members, each of bounded size.
+5. Rest: two members of a bucket that are in different families are paired if their sketches agree, small buckets by
+   a join in which a row has at most ``SMALL_BUCKET`` partners, large ones block by block, and verified. So every
+   pair that shares a bucket is in one family or is tested: nothing is capped or dropped.
+
+Sketch check: a pair that agrees in fewer than ``SIG_LEAST`` of 128 places is not verified. At similarity 0.8 the
+agreement has mean 102 and deviation 4.5, so a loss is a case beyond 4.9 deviations, 5e-7.
 
 Defined results: null, empty or wordless text has an empty set, n_shingles 0, and is its own component; a text
 with fewer words than a shingle has the whole sequence as its one shingle; a null id is linked with nothing,
@@ -37,9 +39,12 @@ from pyspark.sql import functions as F
 from .common import forget, materialise, words_ascii
 
 BANDS, ROWS = 32, 4
-SIG_LEAST = 74
+SIG_LEAST = 80
 SMALL_BUCKET = 32
 BLOCK = 1024
+FAMILY_ROWS, FAMILY_BYTES = 4096, 64 << 20
+#: Ids that are looked up by a broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 SEED = 20_240_601
 
 
@@ -73,18 +78,32 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best.astype(np.uint32)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band: its number and its minima."""
+    minima = sig.reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for r in range(ROWS):
+        key = (key ^ minima[:, r]) * np.uint64(0xBF58476D1CE4E5B9)
+        key ^= key >> np.uint64(29)
+        key *= np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(32)
+    return key
+
+
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = hash_family()
         for batch in batches:
-            n, digest, sig = [], [], []
+            n, digest, bands, sketch = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(text, width)
                 n.append(len(h))
+                sig = signature(h, a, b) if len(h) else None
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                sig.append(signature(h, a, b).tobytes() if len(h) else None)
-            made = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["id", "n", "digest", "sig"])
+                bands.append(band_keys(sig).tobytes() if len(h) else None)
+                sketch.append(sig.astype(np.uint8).tobytes() if len(h) else None)
+            made = [batch.column("id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, bands, sketch))]
+            yield pa.RecordBatch.from_arrays(made, names=["id", "n", "digest", "bands", "sketch"])
 
     return run
 
@@ -99,26 +118,17 @@ def _sets(width: int):
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), BANDS, ROWS).astype(np.uint64)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(pdf), 1), np.uint64)
-        for r in range(ROWS):
-            key = (key ^ sig[:, :, r]) * np.uint64(0xBF58476D1CE4E5B9)
-            key ^= key >> np.uint64(29)
-            key *= np.uint64(0x94D049BB133111EB)
-            key ^= key >> np.uint64(32)
-        yield pd.DataFrame({"key": key.reshape(-1).view(np.int64), "id": np.repeat(pdf["id"].to_numpy(), BANDS)})
+        yield pd.DataFrame({"key": np.frombuffer(b"".join(pdf["bands"]), np.int64), "id": np.repeat(pdf["id"].to_numpy(), BANDS)})
 
 
-def _agree(pdf: pd.DataFrame) -> np.ndarray:
-    x = np.frombuffer(b"".join(pdf["sig_a"]), np.uint32).reshape(len(pdf), -1)
-    y = np.frombuffer(b"".join(pdf["sig_b"]), np.uint32).reshape(len(pdf), -1)
-    return (x == y).sum(axis=1)
+def _matrix(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), BANDS * ROWS)
 
 
 def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            yield pdf.loc[_agree(pdf) >= SIG_LEAST, ["a", "b"]]
+            yield pdf.loc[(_matrix(pdf["sketch_a"]) == _matrix(pdf["sketch_b"])).sum(axis=1) >= SIG_LEAST, ["a", "b"]]
 
 
 def _verify(similarity: int):
@@ -127,24 +137,93 @@ def _verify(similarity: int):
             ok = []
             for x, y in zip(pdf["hashes_a"], pdf["hashes_b"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+                common = int(overlaps(x, [y])[0])
                 ok.append(100 * common >= similarity * (len(x) + len(y) - common))
             yield pdf.loc[ok, ["a", "b"]]
 
     return run
 
 
+def overlaps(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of the sorted set x with each of others."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(x, flat)
+    at[at == len(x)] = 0
+    return np.add.reduceat((x[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum([len(o) for o in others])[:-1])))
+
+
+def _family_links(similarity: int):
+    """Rows sorted by (family, qb, tb) -> links that connect members not connected before. side: 0 asks, 1 is asked, 2 both."""
+
+    def links(rows: list[dict]) -> list[tuple[int, int]]:
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while root.setdefault(i, i) != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for r in rows:
+            a, b = find(r["id"]), find(r["comp"])
+            root[max(a, b)] = min(a, b)
+        told = [r for r in rows if r["side"] != 0]
+        sketches = _matrix([r["sketch"] for r in told])
+        sets = [np.frombuffer(r["hashes"], np.uint64) for r in told]
+        sizes = np.array([len(x) for x in sets])
+        out = []
+        for q in rows:
+            if q["side"] == 1:
+                continue
+            x = np.frombuffer(q["hashes"], np.uint64)
+            agree = (sketches == np.frombuffer(q["sketch"], np.uint8)).sum(axis=1)
+            near = (agree >= SIG_LEAST) & (100 * np.minimum(sizes, len(x)) >= similarity * np.maximum(sizes, len(x)))
+            near = np.flatnonzero(near)
+            near = near[np.argsort(-agree[near], kind="stable")].tolist()
+            step = 1
+            while near:  # the likeliest first, then more at a time; what got connected meanwhile is left out
+                own = find(q["id"])
+                near = [t for t in near if find(told[t]["id"]) != own]
+                now, near = near[:step], near[step:]
+                step = min(4 * step, 256)
+                if not now:
+                    break
+                for t, common in zip(now, overlaps(x, [sets[t] for t in now]).tolist()):
+                    if 100 * common >= similarity * (len(x) + sizes[t] - common):
+                        a, b = find(q["id"]), find(told[t]["id"])
+                        if a != b:
+                            root[max(a, b)] = min(a, b)
+                            out.append((q["id"], told[t]["id"]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                key = (r["family"], r["qb"], r["tb"])
+                if key != now:
+                    out += links(rows)
+                    now, rows = key, []
+                rows.append(r)
+            yield _pairs(out)
+        yield _pairs(links(rows) if rows else [])
+
+    return run
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
+
+
 def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block of members outside the largest component against one block of all members of a bucket."""
+    """One block of members outside a bucket's largest family against one block of all its members: alike pairs of different families."""
     q, t = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    x = np.frombuffer(b"".join(q["sig"]), np.uint32).reshape(len(q), BANDS * ROWS)
-    y = np.frombuffer(b"".join(t["sig"]), np.uint32).reshape(len(t), BANDS * ROWS)
-    ids, comps = t["id"].to_numpy(), t["comp"].to_numpy()
+    x, y = _matrix(list(q["sketch"])), _matrix(list(t["sketch"]))
+    ids, fams = t["id"].to_numpy(), t["family"].to_numpy()
     out = []
-    for i, (own, comp) in enumerate(zip(q["id"], q["comp"])):
-        near = ((y == x[i]).sum(axis=1) >= SIG_LEAST) & (comps != comp)
+    for i, (own, fam) in enumerate(zip(q["id"], q["family"])):
+        near = ((y == x[i]).sum(axis=1) >= SIG_LEAST) & (fams != fam)
         out += [(min(own, other), max(own, other)) for other in ids[near].tolist()]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -180,17 +259,15 @@ def _mark(edges: DataFrame) -> tuple:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(rows.mapInArrow(_sign(shingle_words), "id long, n long, digest binary, sig binary"), "signatures")
+    signed = materialise(rows.mapInArrow(_sign(shingle_words), "id long, n long, digest binary, bands binary, sketch binary"), "signatures")
     full = signed.where("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = materialise(full.join(classes, "digest").where("id = rep").select("id", "n", "sig").dropDuplicates(["id", "sig"]), "classes")
+    reps = materialise(full.join(classes, "digest").where("id = rep").select("id", "n", "bands", "sketch").dropDuplicates(["id", "sketch"]), "classes")
     links = _links(rows, reps, shingle_words, similarity)
     # Rows with one id but several texts tie the classes of these texts together.
-    shared = full.join(classes, "digest").where("id <> rep").select(F.col("id").alias("b"), F.col("rep").alias("a"))
     repeated = full.select("id", "digest").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
-    tied = shared.join(repeated, shared["b"] == repeated["id"]).select("a", "b")
-    comps = connected_components(links.select("a", "b").union(tied))
-    comps = comps.groupBy("id").agg(F.min("comp").alias("comp"))
+    tied = full.join(repeated, "id").join(classes, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    comps = connected_components(links.union(tied))
     by_class = classes.join(comps, classes["rep"] == comps["id"], "left").select("digest", F.coalesce("comp", "rep").alias("of_class"))
     out = signed.select("id", "n", "digest").join(by_class, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("of_class", "id"))
@@ -199,46 +276,87 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links(rows: DataFrame, reps: DataFrame, width: int, similarity: int) -> DataFrame:
     """Verified links between classes, enough of them to connect what is connected."""
-    banded = materialise(reps.select("id", "sig").mapInPandas(_bands, "key long, id long"), "bands")
+    banded = reps.select("id", "bands").mapInPandas(_bands, "key long, id long").repartition("key")
     low = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    stars = banded.join(low, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    first = materialise(_verified(rows, _alike_pairs(stars, reps, similarity), width, similarity), "links")
-    comps = connected_components(first).groupBy("id").agg(F.min("comp").alias("comp"))
-    placed = banded.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+    met = materialise(banded.join(low, "key"), "buckets")  # only the buckets in which documents meet
+    stars = materialise(_alike_pairs(met.where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, similarity), "stars")
+    families = materialise(connected_components(stars).select("id", F.col("comp").alias("family")), "families")
+    sets = _set_table(rows, families.select("id"), width)
+    inside = _inside_families(families, stars, sets, reps, similarity)
+    placed = met.select("key", "id").join(families, "id", "left").select("key", "id", F.coalesce("family", "id").alias("family"))
+    mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
     rest = materialise(placed.join(mixed, "key"), "rest")
-    few = rest.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "comp")
-    x, y = few.toDF("key", "a", "comp_a"), few.toDF("key", "b", "comp_b")
-    small = x.join(y, "key").where("a < b AND comp_a <> comp_b").select("a", "b").distinct()
-    small = small.join(stars, ["a", "b"], "left_anti")
+    few = rest.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "family")
+    x, y = few.toDF("key", "a", "family_a"), few.toDF("key", "b", "family_b")
+    small = x.join(y, "key").where("a < b AND family_a <> family_b").select("a", "b").distinct()
     large = _large_buckets(rest.where(F.col("m") > SMALL_BUCKET), reps)
-    second = _verified(rows, _alike_pairs(small, reps, similarity).union(large).distinct(), width, similarity)
-    return first.select("a", "b").union(materialise(second, "links"))
+    across = materialise(_alike_pairs(small, reps, similarity).union(large).distinct(), "across")
+    more = _set_table(rows, across.select(F.col("a").alias("id")).union(across.select("b")).distinct(), width)
+    return inside.union(_verified(across, more, similarity))
 
 
 def _alike_pairs(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
-    """Pairs whose sizes admit the similarity and whose signatures agree."""
-    a, b = reps.toDF("a", "n_a", "sig_a"), reps.toDF("b", "n_b", "sig_b")
+    """Pairs whose sizes admit the similarity and whose sketches agree."""
+    slim = reps.select("id", "n", "sketch")
+    a, b = slim.toDF("a", "n_a", "sketch_a"), slim.toDF("b", "n_b", "sketch_b")
     sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "sig_a", "sig_b").mapInPandas(_alike, "a long, b long")
+    return sized.select("a", "b", "sketch_a", "sketch_b").mapInPandas(_alike, "a long, b long")
+
+
+def _set_table(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, hashes) of the wanted ids: a few are looked up where the texts are read, more meet them by a shuffle."""
+    wanted = materialise(wanted.distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+    return materialise(texts.mapInPandas(_sets(width), "id long, hashes binary").dropDuplicates(["id", "hashes"]), "sets")
+
+
+def _inside_families(families: DataFrame, stars: DataFrame, sets: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
+    sizes = families.join(reps.select("id", "n"), "id").groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n") * 8 + 256).alias("bytes"))
+    sizes = materialise(sizes.withColumn("large", (F.col("rows") > FAMILY_ROWS) | (F.col("bytes") > FAMILY_BYTES)), "family-sizes")
+    member = families.join(sets, "id").join(reps.select("id", "sketch"), "id")
+    zero = F.lit(0).alias
+    small = member.join(sizes.where("NOT large").select("family"), "family").select("family", zero("qb"), zero("tb"), F.lit(2).alias("side"), "id", F.col("id").alias("comp"), "sketch", "hashes")
+    found = _by_family(small, similarity)
+    if sizes.where("large").isEmpty():
+        return materialise(found, "links")
+    big = families.join(sizes.where("large").select("family", "rows", "bytes"), "family")
+    first = materialise(_verified(stars.join(big.select(F.col("id").alias("a")), "a", "left_semi"), sets, similarity), "links")
+    comps = connected_components(first).join(big.select("id", "family"), "id", "right").select("id", "family", F.coalesce("comp", "id").alias("comp"))
+    by_comp = comps.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = by_comp.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    open_ = comps.join(main, "family").join(sizes.select("family", "rows", "bytes"), "family")
+    # Blocks hold BLOCK askers or 4 * BLOCK members by number, and a share of FAMILY_BYTES by weight.
+    parts = F.greatest(F.ceil(F.col("rows") / F.lit(4 * BLOCK)), F.ceil(F.col("bytes") / F.lit(FAMILY_BYTES))).cast("int")
+    open_ = open_.withColumn("nt", parts).withColumn("nq", F.col("nt") * 4)
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = open_.where("comp <> main").withColumn("qb", spread("nq")).withColumn("tb", every("nt")).withColumn("side", F.lit(0))
+    asked = asks.select("family", "qb", "tb").distinct()
+    told = open_.withColumn("tb", spread("nt")).withColumn("side", F.lit(1)).join(asked, ["family", "tb"])
+    both = asks.select("family", "qb", "tb", "side", "id", "comp").union(told.select("family", "qb", "tb", "side", "id", "comp"))
+    blocks = both.join(sets, "id").join(reps.select("id", "sketch"), "id").select("family", "qb", "tb", "side", "id", "comp", "sketch", "hashes")
+    return materialise(found.union(first).union(_by_family(blocks, similarity)), "links")
+
+
+def _by_family(rows: DataFrame, similarity: int) -> DataFrame:
+    dealt = rows.repartition("family", "qb", "tb").sortWithinPartitions("family", "qb", "tb", "id")
+    return dealt.mapInArrow(_family_links(similarity), "a long, b long")
 
 
 def _large_buckets(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    by_comp = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("m2"))
-    members = rest.join(main, "key").join(reps.select("id", "sig"), "id")
-    members = members.withColumn("nq", F.ceil((F.col("m2") - F.col("k")) / BLOCK).cast("int")).withColumn("nt", F.ceil(F.col("m2") / (4 * BLOCK)).cast("int"))
+    by_family = rest.groupBy("key", "family").agg(F.count(F.lit(1)).alias("k"))
+    main = by_family.groupBy("key").agg(F.max_by("family", F.struct("k", "family")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("all"))
+    members = rest.join(main, "key").join(reps.select("id", "sketch"), "id")
+    members = members.withColumn("nq", F.ceil((F.col("all") - F.col("k")) / BLOCK).cast("int")).withColumn("nt", F.ceil(F.col("all") / (4 * BLOCK)).cast("int"))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
-    asks = members.where("comp <> main").withColumn("qb", spread("nq")).withColumn("tb", every("nt")).withColumn("side", F.lit(0))
+    asks = members.where("family <> main").withColumn("qb", spread("nq")).withColumn("tb", every("nt")).withColumn("side", F.lit(0))
     told = members.withColumn("tb", spread("nt")).withColumn("qb", every("nq")).withColumn("side", F.lit(1))
-    cols = ["key", "qb", "tb", "side", "id", "comp", "sig"]
+    cols = ["key", "qb", "tb", "side", "id", "family", "sketch"]
     return asks.select(cols).union(told.select(cols)).groupBy("key", "qb", "tb").applyInPandas(_block_pairs, "a long, b long")
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, width: int, similarity: int) -> DataFrame:
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(rows.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"]).mapInPandas(_sets(width), "id long, hashes binary"), "sets")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     a, b = sets.toDF("a", "hashes_a"), sets.toDF("b", "hashes_b")
     return pairs.join(a, "a").join(b, "b").mapInPandas(_verify(similarity), "a long, b long").distinct()

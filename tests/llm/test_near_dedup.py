@@ -61,9 +61,10 @@ def test_equals_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_large_bucket_goes_block_by_block(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+@pytest.mark.parametrize("limits", [{"SMALL_BUCKET": 2, "BLOCK": 3}, {"FAMILY_ROWS": 3, "BLOCK": 2}, {"BROADCAST_IDS": 0, "FAMILY_ROWS": 2, "BLOCK": 1, "FAMILY_BYTES": 9000}])
+def test_large_groups_go_block_by_block(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
     rows = corpus(7, 25, 20)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
