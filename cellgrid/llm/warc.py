@@ -5,9 +5,9 @@ built from records of the archive, itself compressed, and then one Zstandard fra
 reader can seek to any record. Records with equal payloads are written once as ``response``; the others are
 ``revisit`` records of the identical-payload-digest profile that refer to it and keep its HTTP head, hence its length.
 
-Records are dealt to archives by a digest of the page id, not of the payload, so a payload with very many
-copies is spread over all archives. The first page of each payload is found by a min() that is combined before
-the shuffle, and joined on the digest. Archives hold about ``ARCHIVE_RECORDS`` records, and a task keeps
+The first page of each payload is found by a min() over digests that is combined before the shuffle; only the pages
+that revisit another are joined back, by page id and digest, so a payload with very many copies is spread over all tasks and
+where nothing is repeated no page is shuffled. Each task writes the pages it has to archives of ``ARCHIVE_RECORDS`` records, and keeps
 ``SAMPLE_BYTES`` of records for the dictionary and then one record at a time: a record that arrives while
 the sample fills is kept with it and written first. The dictionary is trained on this documented, bounded sample.
 
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,31 +151,30 @@ def _write(folder: str):
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, where = open_fs(folder)
         system.create_dir(where, recursive=True)
-        archive, writer, file, count, temp = None, None, None, 0, ""
-        made: list[tuple[str, int]] = []
+        task = TaskContext.get().partitionId()
+        writer, file, temp = None, None, ""
+        made: list[list] = []
 
         def finish() -> None:
             writer.close()
             file.close()
-            name = f"{where}/part-{archive:06d}.warc.zst"
             try:
-                system.move(temp, name)
+                system.move(temp, f"{where}/{made[-1][0]}")
             except OSError:  # an earlier attempt has put the same archive there
                 system.delete_file(temp)
-            made.append((name[len(where) + 1 :], count))
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("archive", "page_id", "url", "html", "first")]
-            for a, page, url, html, first in zip(*cols):
-                if a != archive:
-                    if archive is not None:
+            for page, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
+                if not made or made[-1][1] == ARCHIVE_RECORDS:
+                    if made:
                         finish()
-                    archive, count, temp = a, 0, f"{where}/.{a:06d}-{uuid.uuid4().hex}"
+                    made.append([f"part-{task:06d}-{len(made):03d}.warc.zst", 0])
+                    temp = f"{where}/.{uuid.uuid4().hex}"
                     file = system.open_output_stream(temp, compression=None)
                     writer = Writer(file)
                 writer.add(record(page, url, (html or "").encode("utf-8", "surrogatepass"), first))
-                count += 1
-        if archive is not None:
+                made[-1][1] += 1
+        if made:
             finish()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=["name", "records"])
 
@@ -183,16 +183,16 @@ def _write(folder: str):
 
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
     """Write archives of all pages (page_id, url, html); returns the table (folder, name, records) of archives."""
-    spark = pages.sparkSession
-    folder = folder or new_path(spark, "warc")
+    folder = folder or new_path(pages.sparkSession, "warc")
     body = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("bytes"))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND least IS NOT NULL").select("digest", "least")
-    n = max(1, -(-pages.count() // ARCHIVE_RECORDS))
-    first = F.when((F.col("bytes") >= min_bytes) & (F.col("page_id").isNull() | (F.col("page_id") != F.col("least"))), F.col("least"))
-    dealt = rows.join(firsts, "digest", "left").select("page_id", "url", "html", first.alias("first"), F.pmod(F.xxhash64("page_id"), F.lit(n)).cast("int").alias("archive"))
-    dealt = dealt.repartition(n, "archive").sortWithinPartitions("archive", "page_id")
-    made = dealt.mapInArrow(_write(folder), "name string, records long")
+    rows = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"))
+    known = materialise(rows.select("page_id", "digest", F.octet_length(body).alias("bytes")), "digests")
+    firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND first IS NOT NULL").select("digest", "first")
+    again = known.where(F.col("bytes") >= min_bytes).join(firsts, "digest").where("page_id IS NULL OR page_id <> first")
+    again = materialise(again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "first").distinct(), "revisits")
+    same = F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest"))
+    told = rows.join(again, same, "left").select("page_id", "url", "html", "first").sortWithinPartitions("page_id")
+    made = told.mapInArrow(_write(folder), "name string, records long")
     return materialise(made.select(F.lit(folder).alias("folder"), "name", "records"), "archives")
 
 
@@ -219,4 +219,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
     """One row per record of the archives."""
     n = max(1, archives.count())
-    return archives.select("folder", "name").repartition(n, "name").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("folder", "name").repartition(n).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
