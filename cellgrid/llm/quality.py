@@ -53,10 +53,12 @@ def features(docs: DataFrame) -> DataFrame:
     n = len(CHAR_CLASSES)
     at = at.withColumn("char_counts", F.array(*[(F.col(f"r{i}") - F.col(f"r{i + 1}")).cast("long") for i in range(n)], F.col(f"r{n}").cast("long")))
     at = at.withColumn("lines", F.expr(f"filter(split(text, '\\\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), F.lit(r"[\x00-\x60\x7B-\x7F]+"), F.lit("  ")), F.lit(" "))
+    plain = F.split(F.lower(F.regexp_replace("text", F.lit(r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(" "))), " ")
     listed = F.create_map(*[x for lang, words in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))])
-    at = at.withColumn("plain", plain).withColumn("listed", F.coalesce(F.try_element_at(listed, F.col("lang")), F.array().cast("array<string>")))
-    at = at.withColumn("found", F.expr("transform(listed, w -> CAST((length(plain) - length(replace(plain, concat(' ', w, ' '), ''))) DIV (length(w) + 2) AS long))"))
+    every = sorted({w for words in COMMON_WORDS.values() for w in words})
+    at = at.withColumn("common", F.filter(plain, lambda w: w.isin(every)))
+    at = at.withColumn("listed", F.coalesce(F.try_element_at(listed, F.col("lang")), F.array().cast("array<string>")))
+    at = at.withColumn("found", F.expr("transform(listed, w -> CAST(size(common) - size(array_remove(common, w)) AS long))"))
     hits = "aggregate(found, 0L, (a, x) -> a + x)"
     at = at.withColumn("n_words", F.size("words").cast("long")).withColumn("word_counts", F.expr(f"concat(found, array(greatest(n_words - {hits}, 0L)))"))
     windows = "transform(sequence(0, size(words) - 3), i -> struct(xxhash64(words[i], words[i + 1], words[i + 2]) AS h, i AS i))"
