@@ -15,7 +15,7 @@ the small table of block counts. Blocks hold ``BLOCK_ROWS`` rows on average what
 
 Defined results: null text, empty text and text without a word have size 0 and take 0 words; a source of
 size 0 has target 0; the null source is a source of its own and stands last; documents with equal ids are
-ordered by size and text digest, and fully equal rows are interchangeable; an empty table gives no rows.
+placed by size, and fully equal rows are interchangeable; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
 
     The level L with sum(min(cap * size, L * weight)) = share * all sizes is found in closed form: sources
     are ordered by the level at which they reach their cap, and the running sums of capped words and of
-    remaining weights give the first level that is not beyond the next cap. One row per source: bounded by
-    the number of sources, not of documents.
+    remaining weights give the first level that is not beyond the next cap; later ones are lower, so it is the
+    largest of those. One row per source: bounded by the number of sources, not of documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     level = Window.orderBy("full_at", "source").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,7 +53,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
         .withColumn("level", (F.col("all_words") * F.lit(share) - F.col("capped")) / F.col("left_weight"))
     )
     return (
-        at.withColumn("the_level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
+        at.withColumn("the_level", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(everything))
         .withColumn("target", F.coalesce(F.least("full", F.col("the_level") * F.col("weight")), F.col("full")))
         .select("source", "source_size", "weight", "target")
     )
@@ -81,7 +81,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         .withColumn("offset", offset)
     )
     dealt = _null_safe(rows, about, ["source", "cls"]).withColumn("block", F.expr("substring(key, 1, digits)")).drop("digits")
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source", "cls", "block").orderBy("key", "size")).cast("long"))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source", "cls", "block").orderBy("size", "key")).cast("long"))
     along = Window.partitionBy("source").orderBy("cls", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("source", "cls", "block").agg(F.count(F.lit(1)).alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(along), F.lit(0))).drop("rows")
     placed = _null_safe(ranked, starts, ["source", "cls", "block"])

@@ -47,13 +47,13 @@ MIXING = rf"""
         SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(full_size) OVER before, 0.0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0::DOUBLE)) AS level
         FROM f WINDOW before AS (ORDER BY full_at, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     ), t AS (
-        SELECT source, source_size, coalesce(least(full_size, min(CASE WHEN level <= full_at THEN level END) OVER () * weight), full_size) AS target FROM l
+        SELECT source, source_size, coalesce(least(full_size, max(CASE WHEN level <= full_at THEN level END) OVER () * weight), full_size) AS target FROM l
     ), r AS (
         SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
                CAST('0x' || substr(md5(concat_ws('|', coalesce(source, ''), 'mix-1')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM t
     ), placed AS (
         SELECT c.*, r.source_size, r.target, r.rate, r.u,
-               row_number() OVER (PARTITION BY c.source ORDER BY c.cls, CASE WHEN n > 20000 THEN substr(k, 1, 1) ELSE '' END, k, size) AS e
+               row_number() OVER (PARTITION BY c.source ORDER BY c.cls, CASE WHEN n > 20000 THEN substr(k, 1, 1) ELSE '' END, size, k) AS e
         FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source JOIN classes ON c.source IS NOT DISTINCT FROM classes.source AND c.cls = classes.cls
     )
     SELECT doc_id, size, source_size, target, CAST(floor(e * rate + u) - floor((e - 1) * rate + u) AS BIGINT) * size AS taken FROM placed"""

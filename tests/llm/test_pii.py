@@ -1,0 +1,130 @@
+"""Patterns against the stated regular expressions, the field against an unbatched Viterbi and on held-out sentences."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from cellgrid.llm import pii
+
+STATED = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def stated(text):
+    out = []
+    for kind, pattern in STATED.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+            ok = kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "phone" and 9 <= len(d) <= 15 or kind == "card" and 13 <= len(d) <= 19 and luhn
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+@pytest.fixture(scope="module")
+def field():
+    return pii.fit()
+
+
+def test_base_equals_the_patterns():
+    rng = random.Random(1)
+    bits = ["a", "B.c", "@", ".", "@x", "x.y", "1", "23", "256", "255", "4111111111111111", "4111 1111 1111 1111", "+", "+1 (017) 555-7713", "-", " ", "  ", "(", ")", "é", "\n", "00", "a@b.c", "1.2.3.4", "%+-", "..", "1.2.3", "@@", "é@b.c"]
+    for _ in range(6000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12)))
+        assert pii.base_spans(text) == stated(text), text
+
+
+def test_base_is_linear_on_hard_texts():
+    for text in ("9" * 200_000, "a" * 300_000 + "@", "@" * 100_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "+" + "1 " * 100_000):
+        pii.base_spans(text)
+
+
+def plain_viterbi(words, field):
+    """All words of a sentence, one step after the other; words without a digit or an @ may be O only."""
+    tables, k = pii.Tables(field), len(pii.LABELS)
+    rows = [tables[pii.word_features(w)] for w in words]
+    score = [rows[t][1] + (rows[t - 1][0] if t else 0) + (rows[t + 1][2] if t + 1 < len(rows) else 0) for t in range(len(rows))]
+    for s, w in zip(score, words):
+        if not re.search("[0-9@]", w):
+            s[1:] = -1e9
+    best, back = field.trans[0] + score[0], []
+    for s in score[1:]:
+        all_ = best[:, None] + field.trans
+        back.append(all_.argmax(axis=0))
+        best = all_.max(axis=0) + s
+    path = [int((best + field.trans[:, 0]).argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    assert k == len(best)
+    return path[::-1]
+
+
+def test_cut_decoding_equals_whole_decoding(field):
+    rng = random.Random(2)
+    words = [w for row, _ in pii.labelled_rows() for w in row]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    for text in texts:
+        at = [m.span() for m in re.finditer(r"\S+", text)]
+        path = plain_viterbi([text[a:b] for a, b in at], field)
+        want, t = [], 0
+        while t < len(path):
+            first = t
+            while t < len(path) and path[t] == path[first]:
+                t += 1
+            span = pii._trimmed(text, at[first][0], at[t - 1][1])
+            if path[first] and span and pii._holds(pii.LABELS[path[first]], text[span[0] : span[1]]):
+                want.append((pii.LABELS[path[first]], *span))
+        assert pii.decode([text], pii.Tables(field))[0] == want, text
+    assert pii.decode(texts, pii.Tables(field)) == [pii.decode([t], pii.Tables(field))[0] for t in texts]
+
+
+def test_held_out_sentences(field):
+    tables = pii.Tables(field)
+    found = lambda text: [(k, text[a:b]) for k, a, b in pii.all_spans([text], tables)[0][1]]
+    assert found('and the token = "77d0c2a94be1f5a3c6d8e9f0a1b2c3d4e5f60718" of a') == [("secret", "77d0c2a94be1f5a3c6d8e9f0a1b2c3d4e5f60718")]
+    assert found("please ring (646) 555-0134 before ten") == [("phone", "(646) 555-0134")]
+    assert found("card 5500.0000.0000.0004 was lost") == [("card", "5500.0000.0000.0004")]
+    for clean in ("In 1987 there were 12 of 14 left, or 85%.", "see version 3.1 of the text, section 2-4", "the end of the token ring", "a 1999-2004 study of 3,000 men", "order 9807915762804490 now"):
+        assert found(clean) == [], clean
+
+
+def test_training_table_is_learned(field):
+    hit = n = 0
+    for words, labels in pii.labelled_rows():
+        got = plain_viterbi(words, field)
+        want = [lab if re.search("[0-9@]", w) else 0 for w, lab in zip(words, labels)]
+        n += len(want)
+        hit += sum(a == b for a, b in zip(got, want))
+    assert hit / n > 0.98
+
+
+def test_query_rows(spark, field):
+    texts = [None, "", "no data", "mail a@b.co and +1 (017) 555-7713", "ip 1.2.3.4 1.2.3.999 x", "4111 1111 1111 1111", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é', "4111 1111 1111 1111"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, base string").select("doc_id", "text")
+    got = {r.doc_id: r for r in pii.summary(pii.find(df, field)).collect()}
+    for i, t in enumerate(texts):
+        spans = stated(t or "")
+        told = ",".join(f"{k}:{a}:{b}" for kind in STATED for k, a, b in spans if k == kind)
+        assert got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in STATED] == [sum(s[0] == k for s in spans) for k in STATED]
+        assert got[i].spans.startswith(told)
+    assert got[6].spans == "secret:9:49"
+    assert pii.summary(pii.find(df.where("false"), field)).count() == 0
+
+
+def test_redaction(spark, field):
+    rows = [(1, "mail a@b.co now", 15), (2, None, None), (3, "clean", 5), (None, "call +1 (017) 555-7713.", 23)]
+    got = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), field).collect()
+    assert [tuple(r) for r in got] == [(1, "mail [EMAIL] now", 16), (2, None, None), (3, "clean", 5), (None, "call [PHONE].", 13)]
+
+
+def test_viterbi_batch_pads():
+    trans = np.zeros((2, 2))
+    scores = np.array([[[0.0, 1.0], [1.0, 0.0], [0.0, 9.0]], [[0.0, 1.0], [0.0, 0.0], [0.0, 0.0]]])
+    assert pii.viterbi(scores, np.array([3, 1]), trans).tolist() == [[1, 0, 1], [1, 0, 0]]
