@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracle
+from . import oracle, quality_sql
 from .common import bound_batches, table
 
 
@@ -101,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": oracle.url_filter(URL_RULES, BLOCKED_HOSTS),
         "op3_mixing": oracle.MIXING,
+        "op5_quality": quality_sql.sql(),
         "op6_decontaminate": oracle.DECONTAMINATE,
         "op8_chat": oracle.CHAT,
         "op9_warc": oracle.WARC,
