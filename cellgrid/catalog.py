@@ -15,10 +15,14 @@ from .operators import digest, region, statements
 from .plans.ast import Delete, IndexStatement, Select, SetCells, Update, is_write
 from .plans.parser import parse
 from .registry import META, type_of
-from .shape import DEFAULT_AXES, DEFAULT_CHUNK_DIM, DEFAULT_WORLD_DIM, Box, Region, Shape
+from .shape import DEFAULT_AXES, DEFAULT_CHUNK_DIM, DEFAULT_WORLD_DIM, Box, Region, Shape, parse_coords
 from .sources.storage import Root, Store
 
 
+#: A write without a box rewrites the chunks that hold a match if there are at most so many, else the table.
+MAX_NAMED_CHUNKS = 256
+
+
 class Catalog:
     """All databases below a root path. read_only handles refuse writes."""
 
@@ -80,47 +84,49 @@ class Database:
         grid = self.grid()
         if isinstance(statement, Select):
             return statements.select(grid, statement)
+        statements.check_axes(grid, statement.box)
+        part, touched = self._scope(grid, statement)
         now = self.now_ms()
         if isinstance(statement, SetCells):
-            change = statements.set_cells(grid, statement, now)
+            change = statements.set_cells(part, statement, now)
         elif isinstance(statement, Update):
-            change = statements.update(grid, statement, now)
+            change = statements.update(part, statement, now)
         else:
             assert isinstance(statement, Delete)
-            change = statements.delete(grid, statement)
+            change = statements.delete(part, statement)
         affected = change.affected.first()[0]
         if affected:
-            self._keep(grid, change.grid, statement.box)
+            self._keep(part, change.grid, touched)
         return {"affected_cells": affected}
 
+    def _scope(self, grid: Grid, statement) -> tuple[Grid, bool]:
+        """The part of the grid that a write can touch, and whether it is less than all: the chunks of its box, or else those
+        that hold a matching cell, if these are few enough to be named in a condition."""
+        if statement.box is not None:
+            return grid.around(statement.box), True
+        n = self.store.chunk_axes(grid.shape)
+        hit = statements.matching(grid, None, statement.where).select(*grid.chunks(n)).distinct().limit(MAX_NAMED_CHUNKS + 1).collect()
+        return (grid.of_chunks([tuple(r) for r in hit]), True) if len(hit) <= MAX_NAMED_CHUNKS else (grid, False)
+
     def select(self, text: str) -> DataFrame:
         """SELECT only."""
         if is_write(parse(text, self.catalog.clock)):
             raise Forbidden("only SELECT is allowed here")
         return self.query(text)
 
-    def _keep(self, before: Grid, after: Grid, box: Box | None) -> None:
-        """Store what a write led to: for a box, the chunks that it meets; otherwise the whole table."""
+    def _keep(self, before: Grid, after: Grid, part: bool = True) -> None:
+        """Store what a write led to: the chunks of the grid it was applied to (part), or all. Indexes are stale from now on."""
         manifest = self.store.load()
-        manifest = replace(manifest, registry=after.registry)
+        manifest = replace(manifest, registry=after.registry, stale=manifest.indexes)
         n = self.store.chunk_axes(manifest.shape)
-        cells, touched = after.cells, None
-        if box is not None:
-            dim = manifest.shape.chunk_dim
-            met = F.lit(True)
-            for i in range(n):
-                met = met & after.shape.chunk_of(i).between(box.lo[i] // dim, (box.hi[i] - 1) // dim)
-            cells = after.cells.where(met)
-            chunk = [after.shape.chunk_of(i).alias(f"c{i}") for i in range(n)]
-            touched = cells.select(*chunk).union(before.cells.where(met).select(*chunk)).distinct()
-        self.store.replace(cells, manifest, touched)
-        for key in manifest.indexes:
-            self.store.build_index(key, manifest)
+        touched = before.cells.select(*before.chunks(n)).union(after.cells.select(*after.chunks(n))).distinct() if part else None
+        self.store.replace(after.cells, manifest, touched)
 
     # cells
 
     def get(self, coord, key: str):
-        """A value, or None. The coordinate is checked before the key is looked at."""
+        """A value, or None. The coordinate (numbers, or text like ``1,2,3``) is checked before the key is looked at."""
+        coord = parse_coords(coord) if isinstance(coord, str) else coord
         found = self.get_with_meta(coord, key)
         return found["v"] if found else None
 
@@ -159,20 +165,22 @@ class Database:
 
     def set_region(self, origin, extent, key: str, values: list) -> int:
         self.catalog._writable()
-        at, grid = Region(tuple(origin), tuple(extent)), self.grid()
+        at = Region(tuple(origin), tuple(extent)).check(self.shape)
+        grid = self.grid().around(at.box)
         after = region.write_region(grid, at, key, values, self.now_ms())
         if values:
-            self._keep(grid, after, at.box)
+            self._keep(grid, after)
         return len(values)
 
     def remove_region(self, origin, extent, key: str) -> int:
         """How many cells held the key."""
         self.catalog._writable()
-        at, grid = Region(tuple(origin), tuple(extent)), self.grid()
+        at = Region(tuple(origin), tuple(extent)).check(self.shape)
+        grid = self.grid().around(at.box)
         after, held = region.remove_region(grid, at, key)
         n = held.count()
         if n:
-            self._keep(grid, after, at.box)
+            self._keep(grid, after)
         return n
 
     # columns
@@ -215,7 +223,7 @@ class Database:
         manifest = self.store.load()
         if key in manifest.registry.live:
             self.store.build_index(key, manifest)
-            self.store.save(replace(manifest, indexes=tuple({*manifest.indexes, key})))
+            self.store.save(replace(manifest, indexes=tuple({*manifest.indexes, key}), stale=tuple(k for k in manifest.stale if k != key)))
 
     def drop_index(self, key: str) -> bool:
         self.catalog._writable()
@@ -223,14 +231,18 @@ class Database:
         if key not in manifest.indexes:
             return False
         self.store.files.delete(self.store.index_path(manifest.registry.live[key][1]))
-        self.store.save(replace(manifest, indexes=tuple(k for k in manifest.indexes if k != key)))
+        without = lambda keys: tuple(k for k in keys if k != key)
+        self.store.save(replace(manifest, indexes=without(manifest.indexes), stale=without(manifest.stale)))
         return True
 
     def lookup_eq(self, key: str, value) -> DataFrame | None:
-        """Coordinates at which key has the value, from the index; None where there is no index."""
+        """Coordinates at which key has the value, from the index; None where there is no index. A stale index is built anew first."""
         manifest = self.store.load()
         if key not in manifest.indexes:
             return None
+        if key in manifest.stale:
+            self.store.build_index(key, manifest)
+            self.store.save(replace(manifest, stale=tuple(k for k in manifest.stale if k != key)))
         kind = manifest.registry.kind(key)
         table = self.catalog.spark.read.parquet(self.store.index_path(manifest.registry.live[key][1]))
         given = type_of(value)

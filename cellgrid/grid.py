@@ -44,6 +44,27 @@ class Grid:
             raise BadRequest(f"a box of {len(box.lo)} axes in a grid of {self.shape.axes}")
         return self.cells.where(box.holds(self.shape.chunk_dim, self.chunk_axes))
 
+    def chunks(self, n: int) -> list[Column]:
+        """c0.. of the first n axes: the partition columns where the cells have them."""
+        return [F.col(f"c{i}") if i < self.chunk_axes else self.shape.chunk_of(i).alias(f"c{i}") for i in range(n)]
+
+    def around(self, box) -> Grid:
+        """The grid of the chunks that a box meets, along the partitioned axes: what a write to the box can touch."""
+        met, dim = F.lit(True), self.shape.chunk_dim
+        for i in range(min(self.chunk_axes, len(box.lo))):
+            met = met & F.col(f"c{i}").between(box.lo[i] // dim, (box.hi[i] - 1) // dim)
+        return Grid(self.shape, self.registry, self.cells.where(met), self.chunk_axes)
+
+    def of_chunks(self, chunks: list[tuple]) -> Grid:
+        """The grid of some chunks, given by their partition numbers; the condition prunes directories."""
+        met = F.lit(False)
+        for values in chunks:
+            one = F.lit(True)
+            for i, v in enumerate(values):
+                one = one & (F.col(f"c{i}") == v)
+            met = met | one
+        return Grid(self.shape, self.registry, self.cells.where(met), self.chunk_axes)
+
     def entries(self) -> DataFrame:
         """The long form: x0.., key, v_str, v_f64, v_i64, v_bool, created, updated, version; one row a (cell, key)."""
         each = [

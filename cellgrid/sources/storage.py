@@ -1,9 +1,9 @@
-"""Databases on a file system: a manifest, the wide table partitioned by chunk, tombstones, and index tables.
+"""Databases on a file system: a manifest, the wide table partitioned by chunk, and index tables.
 
-The directory of a database holds ``manifest.json`` (shape, columns, indexes, table generation) and ``cells-<n>`` as Parquet, partitioned
+The directory of a database holds ``manifest.json`` (shape, columns, indexes) and ``cells`` as Parquet, partitioned
 by the chunk numbers c0.. of the first axes. Stored columns are named by their number, so a key that was dropped and added
-again with another type is another column. A write replaces the partitions that it touches and no others; partitions
-that lost their last cell are deleted, since dynamic overwrite leaves those alone. All paths go through Hadoop's
+again with another type is another column. A write replaces the partitions that it touches and no others, directory
+by directory from a staged copy; partitions that lost their last cell are deleted. All paths go through Hadoop's
 file systems, so the root may be on any store that Spark reads.
 """
 
@@ -77,16 +77,17 @@ class Manifest:
     shape: Shape
     registry: Registry
     indexes: tuple = ()
+    stale: tuple = ()
 
     def to_json(self) -> str:
         s, r = self.shape, self.registry
         columns = {k: list(v) for k, v in sorted(r.live.items())}
-        return json.dumps({"axes": s.axes, "world_dim": s.world_dim, "chunk_dim": s.chunk_dim, "columns": columns, "next": r.next_number, "indexes": sorted(self.indexes)}, indent=1)
+        return json.dumps({"axes": s.axes, "world_dim": s.world_dim, "chunk_dim": s.chunk_dim, "columns": columns, "next": r.next_number, "indexes": sorted(self.indexes), "stale": sorted(self.stale)}, indent=1)
 
     @classmethod
     def of(cls, text: str) -> Manifest:
         d = json.loads(text)
-        return cls(Shape(d["axes"], d["world_dim"], d["chunk_dim"]), Registry({k: tuple(v) for k, v in d["columns"].items()}, d["next"]), tuple(d["indexes"]))
+        return cls(Shape(d["axes"], d["world_dim"], d["chunk_dim"]), Registry({k: tuple(v) for k, v in d["columns"].items()}, d["next"]), tuple(d["indexes"]), tuple(d.get("stale", ())))
 
 
 class Store:
@@ -180,12 +181,6 @@ class Store:
         rows = grid.cells.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`.v").alias("value"), *grid.shape.coords)
         rows.repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").parquet(self.index_path(manifest.registry.live[key][1]))
 
-    def tombstones(self, manifest: Manifest) -> DataFrame:
-        fields = [T.StructField(c, T.IntegerType()) for c in manifest.shape.coords]
-        schema = T.StructType([*fields, T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("updated", "origin", "seq"))])
-        where = f"{self.path}/tombstones"
-        return self.spark.read.schema(schema).parquet(where) if self.files.names(where) else self.spark.createDataFrame([], schema)
-
 
 class Root:
     """A directory of databases."""

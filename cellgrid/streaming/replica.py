@@ -81,3 +81,25 @@ class Replica:
         """Start following a directory of change files; the trigger takes what is there and ends."""
         changes = self.spark.readStream.schema(change_schema(self.shape)).option("maxFilesPerTrigger", max_files).parquet(log)
         return changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class ReplicaSet:
+    """Replicas of many databases, fed by one log whose rows name their ``database``. A value for a database that was never
+    seen creates it; a removal does not."""
+
+    def __init__(self, spark: SparkSession, root: str, shape: Shape, registry: Registry, retention_ms: int = WEEK_MS):
+        self.spark, self.root, self.shape, self.registry, self.retention_ms = spark, root.rstrip("/"), shape, registry, retention_ms
+        self.files = Files(spark)
+
+    def names(self) -> list[str]:
+        return [n for n in self.files.names(self.root) if self.files.exists(f"{self.root}/{n}/pointer.json")]
+
+    def replica(self, name: str) -> Replica:
+        return Replica(self.spark, f"{self.root}/{name}", self.shape, self.registry, self.retention_ms)
+
+    def apply(self, changes: DataFrame, batch: int) -> None:
+        """The names in a batch are as many as databases, not as rows."""
+        known = set(self.names())
+        for row in changes.groupBy("database").agg(F.bool_or(~F.col("removed")).alias("sets")).collect():
+            if row.database in known or row.sets:
+                self.replica(row.database).apply(changes.where(F.col("database") == row.database).drop("database"), batch)

@@ -148,3 +148,19 @@ def test_box_reads_prune_directories(catalog):
     plan = db.query("SELECT n FROM (9,0) TO (12,1)")._jdf.queryExecution().executedPlan().toString()
     part = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
     assert "c0" in part and ">= 1" in part and "<= 1" in part
+
+
+def test_writes_rewrite_only_the_chunks_they_touch(catalog, tmp_path):
+    db = catalog.create("w", axes=1, world_dim=1000, chunk_dim=8)
+    db.query("SET (n=1) IN (0) TO (64)")
+    files = lambda: {p.parent.name: p.name for p in (tmp_path / "root/w/cells").glob("c0=*/part*.parquet")}
+    old = files()
+    db.query("SET (n=2) IN (9) TO (11)")
+    db.query("UPDATE (n=3) WHERE n = 2")
+    db.query("DELETE WHERE x0 = 40")
+    db.remove((63,), "n")
+    new = files()
+    assert {c for c in old if old[c] != new[c]} == {"c0=1", "c0=5", "c0=7"} and db.list_cells().count() == 62
+    assert db.get("9", "n") == 3
+    with pytest.raises(BadRequest):
+        db.get("999", "never")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellgrid.operators import merge, vector
 from cellgrid.registry import Registry
 from cellgrid.shape import Shape
-from cellgrid.streaming.replica import Replica, change_schema
+from cellgrid.streaming.replica import Replica, ReplicaSet, change_schema
 
 SHAPE, REGISTRY = Shape(1, 100, 8), Registry.of({"a": "i64", "b": "str"})
 
@@ -139,3 +139,13 @@ def test_stream_equals_batch(spark, tmp_path):
     assert as_dict(replica.state()) == want, "a batch that was taken already changes nothing"
     assert {r.origin for r in replica.confirmed().collect()} <= {1, 2, -5}
     assert replica.grid().cells.count() == len({x for x, k in want if not want[x, k][11]})
+
+
+def test_databases_are_created_by_values_only(spark, tmp_path):
+    many = ReplicaSet(spark, f"file://{tmp_path}/many", SHAPE, REGISTRY)
+    rows = [("one", *change(1, "a", 5, 1, 1, 1)), ("two", *change(1, "a", None, 1, 1, 2, True)), ("one", *change(1, "a", None, 2, 1, 3, True)), ("one", *change(2, "b", "x", 2, 1, 4))]
+    schema = f"database string, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in change_schema(SHAPE))}"
+    many.apply(spark.createDataFrame(rows, schema), 0)
+    assert many.names() == ["one"] and {r.x0 for r in many.replica("one").grid().cells.collect()} == {2}
+    many.apply(spark.createDataFrame([("one", *change(2, "b", None, 9, 1, 5, True))], schema), 1)
+    assert many.replica("one").grid().cells.count() == 0
