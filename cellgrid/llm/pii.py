@@ -41,6 +41,8 @@ _DIGIT = re.compile(r"[0-9]")
 _RUNS = re.compile(r"[0-9]+|[a-z]+|[A-Z]+")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _KEY = re.compile(r"[A-Za-z0-9_+/=-]+")
+#: A secret's name and its value in one word.
+_ASSIGNED = re.compile(r"(?i:token|secret|password|passwd|pwd|pass|key|apikey|api_key|access_key)[=:][\"']?(\S{6,})")
 _WORD = re.compile(r"\S+")
 _OPEN = re.compile(r"[0-9@]")
 _OUTER = "\"'`()[]{}<>.,;:!?*#%$&|~^"
@@ -113,8 +115,12 @@ def word_features(word: str) -> tuple[str, ...]:
             out.append("hex")
         if _KEY.fullmatch(inner):
             out.append("key")
+        if inner.isupper():
+            out.append("upper key")
     if word[:1] in "\"'" and len(inner) >= 8 and n and letters:
         out.append("quoted mix")
+    if _ASSIGNED.fullmatch(inner):
+        out.append("assigned")
     return tuple(out)
 
 
@@ -220,6 +226,8 @@ def decode(texts: list[str], tables: Tables) -> list[list[tuple[str, int, int]]]
                 while t < len(at) and path[row, t] == label:
                     t += 1
                 span = _trimmed(texts[i], at[first][0], at[t - 1][1])
+                if span and LABELS[label] == "secret" and (m := _ASSIGNED.fullmatch(texts[i], *span)):
+                    span = m.span(1)
                 if label and span and _holds(LABELS[label], texts[i][span[0] : span[1]]):
                     out[i].append((LABELS[label], *span))
     return [sorted(spans, key=lambda s: s[1:]) for spans in out]
@@ -242,7 +250,7 @@ def _holds(kind: str, span: str) -> bool:
     if kind == "phone":
         return 9 <= len(d) <= 15 and not any(c.isalpha() for c in span)
     if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d)
+        return 13 <= len(d) <= 19 and luhn(d) and not any(c.isalpha() for c in span)
     if kind == "ip":
         return all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in span.split(".")) and span.count(".") == 3
     if kind == "email":
