@@ -10,8 +10,9 @@ The order puts documents of like size together (size classes of an eighth of an
 words taken come near the target as well, not only the copies.
 
 The running sum of a hot source is not computed in one task: documents are dealt into blocks (source,
-size class, hash of the id), ranks are counted inside blocks, and blocks are placed by a running sum over
-the small table of block counts. Blocks hold ``BLOCK_ROWS`` rows on average whatever the source's share.
+size class, hash of the id), ranks are counted inside blocks, and blocks are placed by running sums over
+small tables: of the blocks of a class, and of the classes of a source. Blocks hold ``BLOCK_ROWS`` rows at most
+on average, whatever the source's share.
 
 Defined results: null text, empty text and text without a word have size 0 and take 0 words; a source of
 size 0 has target 0; the null source is a source of its own and stands last; documents with equal ids are
@@ -28,7 +29,7 @@ from .common import materialise, n_words
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 1_000
 SEED = "mix-1"
 
 
@@ -75,16 +76,19 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     goal = targets(per_class.groupBy("source").agg(F.sum("words").alias("source_size")), **rule)
     drawn = F.md5(F.concat_ws("|", F.coalesce("source", F.lit("")), F.lit(seed)))
     offset = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double") / 4294967296.0
+    classes = Window.partitionBy("source").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = per_class.withColumn("first", F.coalesce(F.sum("rows").over(classes), F.lit(0))).drop("rows", "words")
     about = (
-        _null_safe(per_class.drop("rows", "words"), goal.drop("weight"), ["source"])
+        _null_safe(firsts, goal.drop("weight"), ["source"])
         .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("offset", offset)
     )
     dealt = _null_safe(rows, about, ["source", "cls"]).withColumn("block", F.expr("substring(key, 1, digits)")).drop("digits")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source", "cls", "block").orderBy("size", "key")).cast("long"))
-    along = Window.partitionBy("source").orderBy("cls", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("source", "cls", "block").agg(F.count(F.lit(1)).alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(along), F.lit(0))).drop("rows")
-    placed = _null_safe(ranked, starts, ["source", "cls", "block"])
+    along = Window.partitionBy("source", "cls").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("source", "cls", "block", "first").agg(F.count(F.lit(1)).alias("rows"))
+    starts = starts.select("source", "cls", "block", (F.col("first") + F.coalesce(F.sum("rows").over(along), F.lit(0))).alias("before"))
+    placed = _null_safe(ranked.drop("first"), starts, ["source", "cls", "block"])
     end = F.col("before") + F.col("rank")
     copies = F.floor(end * F.col("rate") + F.col("offset")) - F.floor((end - 1) * F.col("rate") + F.col("offset"))
     return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
@@ -107,14 +111,13 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def mix(docs: DataFrame, **rule) -> DataFrame:
-    """The mixed corpus: every column of docs once per copy, with ``copy`` counting from 0. Documents without a copy are gone."""
-    as_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    counts = plan(docs, **rule).withColumn("_k", as_key).groupBy("_k").agg(F.sum("copies").alias("_total"), F.count(F.lit(1)).alias("_rows")).where("_total > 0")
-    # Repeated rows of one id share its copies evenly; the first rows take what is left over.
-    nth = F.row_number().over(Window.partitionBy("_k").orderBy("text", "source"))
-    own = (F.floor(F.col("_total") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_total") % F.col("_rows"), 1).otherwise(0)).cast("int")
-    return (
-        docs.withColumn("_k", as_key).join(counts, "_k").withColumn("_nth", nth).withColumn("_own", own).where("_own > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_own") - 1)))
-        .drop("_k", "_total", "_rows", "_nth", "_own")
-    )
+    """The mixed corpus: every column of docs once per copy, with ``copy`` counting from 0 (in place of a column of that name). Documents without a copy are gone."""
+    as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
+    counts = plan(docs, **rule).select(as_key("doc_id"), "copies").groupBy("key").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 0")
+    # The document travels as one struct, so that no column of its own can clash. Repeated rows of one id share its
+    # copies evenly; the first rows take what is left over.
+    whole = docs.select(as_key("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"]).alias("doc"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("doc.text", "doc.source"))
+    own = (F.floor(F.col("total") / F.col("rows")) + F.when(F.col("nth") <= F.col("total") % F.col("rows"), 1).otherwise(0)).cast("int")
+    shared = whole.join(counts, "key").withColumn("nth", nth).withColumn("own", own).where("own > 0")
+    return shared.select("doc", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("copy")).select("doc.*", "copy")

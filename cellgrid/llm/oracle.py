@@ -53,7 +53,7 @@ MIXING = rf"""
                CAST('0x' || substr(md5(concat_ws('|', coalesce(source, ''), 'mix-1')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM t
     ), placed AS (
         SELECT c.*, r.source_size, r.target, r.rate, r.u,
-               row_number() OVER (PARTITION BY c.source ORDER BY c.cls, CASE WHEN n > 20000 THEN substr(k, 1, 1) ELSE '' END, size, k) AS e
+               row_number() OVER (PARTITION BY c.source ORDER BY c.cls, CASE WHEN n > 256000 THEN substr(k, 1, 3) WHEN n > 16000 THEN substr(k, 1, 2) WHEN n > 1000 THEN substr(k, 1, 1) ELSE '' END, size, k) AS e
         FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source JOIN classes ON c.source IS NOT DISTINCT FROM classes.source AND c.cls = classes.cls
     )
     SELECT doc_id, size, source_size, target, CAST(floor(e * rate + u) - floor((e - 1) * rate + u) AS BIGINT) * size AS taken FROM placed"""
