@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links(rows: DataFrame, reps: DataFrame, width: int, similarity: int) -> DataFrame:
     """Verified links between classes, enough of them to connect what is connected."""
-    banded = reps.select("id", "bands").mapInPandas(_bands, "key long, id long").repartition("key")
+    banded = materialise(reps.select("id", "bands").mapInPandas(_bands, "key long, id long"), "bands")
     low = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     met = materialise(banded.join(low, "key"), "buckets")  # only the buckets in which documents meet
     stars = materialise(_alike_pairs(met.where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, similarity), "stars")
