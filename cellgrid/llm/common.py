@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
+import re
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +26,24 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def share(spark: SparkSession, value):
+    """A broadcast of a value whose class travels with it, so that executors need not have this package. Only for values of a proven size."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(broadcast):
+    """The value of share(), on an executor."""
+    return pickle.loads(broadcast.value)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset (tests, local mode)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset: a folder of the warehouse, which executors share
+    too, or in local mode (tests), where all is one machine, a temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/cellgrid-shared"
     return "file://" + os.path.join(tempfile.gettempdir(), "cellgrid-shared")
 
 

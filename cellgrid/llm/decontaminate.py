@@ -18,7 +18,6 @@ judged one by one, repeated rows alike; an empty benchmark gives no hits; other
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,11 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, share, shared
+
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
 BROADCAST_BYTES = 16 << 20
 MEMO = 1 << 19
-_NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TO = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>"
 
@@ -126,7 +126,7 @@ class Index:
 
 def _scan(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, idx = Codes(), index.value
+        codes, idx = Codes(), shared(index)
         for batch in batches:
             n, hit, items = [], [], []
             for text in batch.column("text").to_pylist():
@@ -175,18 +175,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit and items, the sorted ids (as text) of items with occurring windows."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("item_text"))
     held = items.agg(F.sum(F.octet_length("item_text") + 64)).first()[0] or 0
     if held <= broadcast_bytes:
-        index = spark.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))
+        index = share(spark, Index([tuple(r) for r in items.collect()]))
         return rows.mapInArrow(_scan(index), _SCHEMA)
     return _by_shuffle(rows, items)
 
 
 def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
-    from .common import materialise
-
     count = lambda c: F.size(F.expr(f"filter(split(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+'), x -> x <> '')"))
     numbered = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "docs")
     listed = materialise(items.withColumn("row", F.monotonically_increasing_id()).withColumn("words", count("item_text")), "items")
@@ -219,10 +217,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if held > BROADCAST_BYTES:
         bad = contamination(docs, benchmark).where("n_hit > 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_bad")).distinct()
         return docs.join(bad, F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == bad["_bad"], "left_anti")
-    index = spark.sparkContext.broadcast(Index([tuple(r) for r in items.collect()]))
+    index = share(spark, Index([tuple(r) for r in items.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, idx = Codes(), index.value
+        codes, idx = Codes(), shared(index)
         for batch in batches:
             keep = []
             for text in batch.column("text").to_pylist():

@@ -49,9 +49,9 @@ MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article content entry main post story maincontent articlebody".split())
 AWAY_TAGS = frozenset("nav footer aside form menu button select dialog search fieldset label input datalist".split())
 AWAY_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising advertorial alert banner breadcrumb breadcrumbs byline consent cookie cookies copyright dialog disclaimer footer gdpr"
-    " hidden imprint login menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promotion"
-    " recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising advertorial alert banner breadcrumb breadcrumbs consent cookie cookies copyright dialog disclaimer footer gdpr"
+    " imprint login menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promotion"
+    " recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar complementary contentinfo".split()
 )
 TALK_WORDS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
 HEADER_WORDS = frozenset("header masthead topbar".split())
@@ -59,16 +59,17 @@ FEATURES = ("bias", "away tag", "away word", "talk word", "header", "in main", "
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "flags", "on")
+    __slots__ = ("text", "links", "tag", "path", "inside", "flags")
 
-    def __init__(self, text: str, links: int, tag: str, path: tuple, flags: frozenset):
-        self.text, self.links, self.tag, self.path, self.flags = text, links, tag, path, flags
+    def __init__(self, text: str, links: int, tag: str, path: tuple, inside: tuple):
+        self.text, self.links, self.tag, self.path, self.inside, self.flags = text, links, tag, path, inside, frozenset()
 
 
 def parse(page: str) -> list[Block]:
-    """Blocks in page order. path: numbers of the open block elements; flags: what these and their classes say."""
+    """Blocks in page order. path: numbers of the open block elements; inside: of all open elements; flags: what these say."""
     blocks: list[Block] = []
-    stack: list[tuple[str, int, frozenset, bool]] = [("", 0, frozenset(), True)]  # tag, number, flags, block element
+    stack: list[tuple[str, int, bool]] = [("", 0, True)]  # tag, number, block element
+    said: dict[int, set] = {}
     parts: list[str] = []
     links = in_link = serial = 0
     pos, end = 0, len(page)
@@ -78,8 +79,8 @@ def parse(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                top = next(e for e in reversed(stack) if e[3])
-                blocks.append(Block(text, links, top[0], tuple(e[1] for e in stack if e[3]), stack[-1][2]))
+                top = next(e for e in reversed(stack) if e[2])
+                blocks.append(Block(text, links, top[0], tuple(e[1] for e in stack if e[2]), tuple(e[1] for e in stack if e[1] in said)))
             parts.clear()
         links = 0
 
@@ -106,7 +107,7 @@ def parse(page: str) -> list[Block]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag in BLOCK:
                 flush()
-            elif at and any(e[3] for e in stack[at + 1 :]):
+            elif at and any(e[2] for e in stack[at + 1 :]):
                 at = 0  # an inline end tag doesn't end blocks
             if at:
                 del stack[at:]
@@ -139,41 +140,72 @@ def parse(page: str) -> list[Block]:
         if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
             continue
         serial += 1
-        flags = stack[-1][2]
-        said = _said(tag, m[4], flags)
-        stack.append((tag, serial, flags | said if said else flags, tag in BLOCK))
+        own = _said(tag, m[4])
+        if own:
+            said[serial] = own
+        stack.append((tag, serial, tag in BLOCK))
         if tag == "a":
             in_link += 1
     flush()
+    _settle(blocks, said)
     return blocks
 
 
-def _said(tag: str, attrs: str, inherited: frozenset) -> set:
+def _settle(blocks: list[Block], said: dict[int, set]) -> None:
+    """Flags of blocks. A class that names something beside the text doesn't count at an element that holds the main element or
+    half of the page's text: there it tells of the layout (``has-sidebar``). A header inside the main element is part of it."""
+    weight: dict[int, int] = {}
+    holders = set()
+    for b in blocks:
+        above = []
+        for e in b.inside:
+            weight[e] = weight.get(e, 0) + len(b.text)
+            above.append(e)
+            if "main tag" in said[e]:
+                holders.update(above)
+    half = sum(len(b.text) for b in blocks) / 2
+    holders |= {e for e, w in weight.items() if w >= half}
+    known: dict[tuple, frozenset] = {}
+    for b in blocks:
+        if b.inside not in known:
+            out: set = set()
+            for e in b.inside:
+                own = said[e] - {"away word"} if e in holders else said[e]
+                out |= own - {"header"} if "in main" in out else own
+            if out & {"away word", "away tag", "talk word"}:
+                out.discard("in main")
+            known[b.inside] = frozenset(out)
+        b.flags = known[b.inside]
+
+
+def _said(tag: str, attrs: str) -> set:
     """What an element says of the text in it."""
     out = set()
     if tag in MAIN_TAGS:
-        out.add("in main")
+        out |= {"in main", "main tag"}
     elif tag in AWAY_TAGS:
         out.add("away tag")
         if tag in ("button", "select", "label"):
             out.add("control")
-    elif tag == "header" and "in main" not in inherited:
+    elif tag == "header":
         out.add("header")
-    if attrs and attrs != "/":
+    if attrs and attrs != "/" and tag not in ("html", "body"):
         for name, value in _ATTR.findall(attrs):
             name = name.lower()
             if name in ("class", "id", "role"):
                 words = set(_TOKEN.findall(value.lower()))
+                if tag in MAIN_TAGS:
+                    continue
                 if words & TALK_WORDS:
                     out.add("talk word")
                 if words & AWAY_WORDS:
                     out.add("away word")
-                if words & HEADER_WORDS and "in main" not in inherited:
+                if words & HEADER_WORDS:
                     out.add("header")
-                if words & MAIN_WORDS and not out and not inherited & {"away word", "away tag", "talk word"}:
+                if words & MAIN_WORDS and not out:
                     out.add("in main")
             elif name == "hidden" or name == "aria-hidden" and "true" in value.lower() or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                out.add("away word")
+                out.add("away tag")
     return out
 
 
@@ -203,7 +235,7 @@ def labelled_rows() -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(x), np.array(y, float)
 
 
-def fit(steps: int = 2000, penalty: float = 0.005, rate: float = 0.3) -> np.ndarray:
+def fit(steps: int = 2000, penalty: float = 0.003, rate: float = 0.3) -> np.ndarray:
     """Logistic regression with L2 penalty on the labelled pages. Deterministic."""
     x, y = labelled_rows()
     w = np.zeros(x.shape[1])
@@ -300,4 +332,4 @@ def extract(pages: DataFrame, weights: np.ndarray, html_col: str = "html") -> Da
             made = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(made, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", F.col(html_col)).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col(html_col)).mapInArrow(run, "page_id long, url string, text string, n_chars long")

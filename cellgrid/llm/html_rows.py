@@ -19,6 +19,14 @@ LABELLED = (
     <div><a href="/1">-Next</a> <a href="/2">-Previous</a></div><div class="share"><a href="/t">-Tweet this</a></div><p class="copyright">-Copyright by us.</p></body>""",
     """<body><div role="navigation"><a href="/q">-Questions</a></div><div class="post"><h1>+What to do</h1><p>+Do this first, and then do that, and be done with it by noon.</p><pre>+some code = 1</pre><table><tr><td>+cell one</td><td>+cell two</td></tr></table></div>
     <div id="comments"><p>-First! I was here before everybody else, and I am proud of it.</p><p>-Nice post.</p></div><div class="popup"><p>-Sign up now to read on, it takes no time at all.</p></div></body>""",
+    """<body><div class="header"><p>-The town paper, every day since long ago.</p></div><div class="topmenu menu"><a href="/">-Front</a></div><div class="box"><h1>+A plain page</h1><p>+This text stands in a box that has no name to speak of, as many texts do.</p><p>+No.</p>
+    <p>+It goes on for a line or two, and then it is over.</p></div><div class="comments"><p>-That was a good read, I have to say, and I mean it.</p><p>-Agreed.</p></div><div class="notice"><p>-This site uses cookies, and you have been told so.</p></div><div class="footer"><p>-Imprint and contact, for whom it may concern.</p></div></body>""",
+    """<body><header><p>-Our site, the best of all the sites that we know of.</p></header><nav><a href="/n">-News</a><p>-Find your way around here.</p></nav><h1>+Bare text</h1><p>+The text of this page lies in the body itself, and in nothing else.</p><p>+Good.</p><h2>+More of it</h2>
+    <p>+A second part has its own heading, and a few words of its own.</p><aside><p>-An aside tells you what others have read, which is not the text.</p></aside><section id="comments"><h3>-Replies</h3><p>-I read it twice, and liked it twice as much.</p></section>
+    <form><p>-Leave your words here, and we will look at them.</p></form><footer><p>-Made by hand in a house by the sea, with love.</p></footer></body>""",
+    """<body class="home has-sidebar"><div class="wrap with-sidebar"><div class="post-content"><h1>+Of ships</h1><p>+Ships are large, and boats are small; both of them float on water.</p><div class="newsletter-signup"><p>-Get our letter each week, it is free and it is good.</p></div>
+    <p>+Some sink.</p><h2>+Harbours</h2><p>+In a harbour ships find rest from wind and waves, and so do we.</p><div class="share-links"><a href="/f">-Share</a></div></div><div class="sidebar"><h3>-Popular</h3><p>-What you never knew about ships, in ten pictures and few words.</p></div></div>
+    <div class="footer"><p>-All rights are reserved by the owners of this site.</p></div></body>""",
     """<body><section class="notice"><p>-This site will be down for some hours on Sunday, we are sorry for that.</p></section><article><h1>+Plain words</h1><p>+Words.</p><p>+More words in a line that is not so short.</p><p>+And</p><p>+Some</p></article>
     <nav class="pagination"><a href="/2">-2</a></nav><div class="banner"><p>-The sale ends today. Do not miss it, it is great.</p></div><footer><p>-Made with care in a small town by people who like the web.</p></footer></body>""",
 )

@@ -9,8 +9,8 @@ score a word times the number of words up to ``CERTAIN``.
 Training reads the labelled rows it is given: of a language with more than ``TRAIN_ROWS`` of them, those with the
 smallest digests of their texts, up to about that number (a documented bound of a classifier's sample). Counting is by
 partial counts in each task and one grouping of (language, word). The model keeps the ``VOCABULARY`` most frequent
-words and n-grams of each language, and so has a proven size when it is broadcast: it is bounded by these parameters
-times the number of languages, of which ``LANGUAGES`` at most are taken, the most frequent ones.
+words and n-grams of each language, fewer where the languages are many: ``MODEL_ENTRIES`` at most together, which bounds what
+is broadcast. Of more than ``LANGUAGES`` languages the most frequent ones are taken.
 
 Defined results: null text and text without a letter give ``und`` with score 0; rows with null language or null text
 don't train; with no training rows every text with a letter is ``und``; ties go to the first language by name.
@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, share, shared
 
 TRAIN_ROWS = 5_000
 VOCABULARY = 20_000
+MODEL_ENTRIES = 500_000
 LANGUAGES = 400
 LONGEST = 4
 STEP = 1.0
@@ -52,30 +53,50 @@ def ngrams(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
-class Model:
-    """Log frequencies per language: of words, and of n-grams by their length."""
+class Frequencies:
+    """token -> log frequency in each language, smoothed by a half. Only the languages that have a token are stored with it."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
-        self.languages, self.words, self.grams = languages, words, grams
+    def __init__(self, rows: list[tuple[str, str, int]], languages: list[str]):
+        at = {lang: i for i, lang in enumerate(languages)}
+        self.held: dict[str, tuple] = {}
+        for lang, token, n in rows:
+            self.held[token] = (*self.held.get(token, ()), at[lang], math.log(n + 0.5))
+        total = np.full(len(languages), 0.5 * len(self.held))
+        for lang, _, n in rows:
+            total[at[lang]] += n
+        self.total = np.log(np.maximum(total, 0.5))
+        self.least = math.log(0.5) - self.total
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __contains__(self, token: str) -> bool:
+        return token in self.held
 
+    def get(self, token: str) -> np.ndarray | None:
+        own = self.held.get(token)
+        if own is None:
+            return None
+        out = self.least.copy()
+        for i, x in zip(own[::2], own[1::2]):
+            out[i] = x - self.total[i]
+        return out
 
-def _log_table(rows: list[tuple[str, str, int]], languages: list[str]) -> dict[str, np.ndarray]:
-    """Rows (language, token, count) -> token -> log frequency in each language, smoothed by a half."""
-    at = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for lang, token, n in rows:
-        if lang in at:
-            counts.setdefault(token, np.full(len(languages), 0.5))[at[lang]] += n
-    total = np.log(sum(counts.values())) if counts else None
-    return {t: np.log(c) - total for t, c in counts.items()}
+
+class Model:
+    """Frequencies of words, and of n-grams by their length."""
+
+    def __init__(self, languages: list[str], words: Frequencies, grams: dict[int, Frequencies]):
+        self.languages, self.words, self.grams = languages, words, grams
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Model:
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     languages = sorted(sizes)
+    vocabulary = min(vocabulary, MODEL_ENTRIES // ((LONGEST + 1) * max(1, len(languages))))
     if not languages:
-        return Model([], {}, {})
+        return Model([], Frequencies([], []), {})
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, train_rows / sizes[lang]))])
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
     sample = rows.where(F.col("lang").isin(languages)).where(drawn < share[F.col("lang")])
@@ -113,7 +134,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     kept: dict[int, list] = {}
     for lang, size, token, n in both.withColumn("top", top).where(F.col("top") <= vocabulary).select("lang", "size", "token", "n").toLocalIterator():
         kept.setdefault(size, []).append((lang, token, n))
-    return Model(languages, _log_table(kept.get(0, []), languages), {n: _log_table(kept.get(n, []), languages) for n in range(1, LONGEST + 1)})
+    return Model(languages, Frequencies(kept.get(0, []), languages), {n: Frequencies(kept.get(n, []), languages) for n in range(1, LONGEST + 1)})
 
 
 class Scorer(dict):
@@ -156,15 +177,16 @@ class Scorer(dict):
 
 
 def apply(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; nothing but the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [*docs.columns, "lang_pred", "score"]
+    """docs with lang_pred and score (in place of columns of these names); nothing but the text is looked at."""
+    held = share(docs.sparkSession, model)
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [*keep, "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(shared(held))
         for batch in batches:
             said = [scorer.judge(t) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep) + ", lang_pred string, score double"
     return docs.mapInArrow(run, schema)

@@ -24,14 +24,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, share, shared
 
 SHARD_KEYS = 100_000
 BROADCAST_BYTES = 16 << 20
@@ -157,10 +156,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules, keep: list[str], url_col:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", host string, path string, rule string, verdict string"
     if size > broadcast_bytes:
         return _by_shuffle(rows, levels, shards, rules, keep)
-    shared = spark.sparkContext.broadcast(_as_levels(levels.collect()))
+    held = share(spark, _as_levels(levels.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, memo = shared.value, {}
+        known, memo = shared(held), {}
 
         def in_list(key: str) -> bool:
             if key not in memo:

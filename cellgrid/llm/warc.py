@@ -185,7 +185,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     """Write archives of all pages (page_id, url, html); returns the table (folder, name, records) of archives."""
     folder = folder or new_path(pages.sparkSession, "warc")
     body = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(body.cast("binary")).alias("digest"))
     known = materialise(rows.select("page_id", "digest", F.octet_length(body).alias("bytes")), "digests")
     firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND first IS NOT NULL").select("digest", "first")
     again = known.where(F.col("bytes") >= min_bytes).join(firsts, "digest").where("page_id IS NULL OR page_id <> first")

@@ -156,6 +156,19 @@ def test_extraction(weights):
     assert text("<body><article><p>Real text of the page, which is long enough.</p><div id='comments'><p>I was here first, and I am glad of it.</p></div></article></body>", weights) == "Real text of the page, which is long enough."
 
 
+def test_layout_classes_and_nested_boilerplate(weights):
+    page = """<html class="no-ads"><body class="has-sidebar search-on"><header class="site-header"><h1>My site</h1><p>All the news that there is, each day.</p></header><div id="wrap" class="sidebar-right">
+    <article class="post tag-ad category-news"><header><h1>Title</h1></header><p>One line of text, and then some more of it.</p><aside class="ad-slot">Buy this, it is good.</aside><div class="promo-box"><p>Our offer of the week, do not miss it at all.</p></div>
+    <p>Short.</p><figure><img src=x><figcaption>A caption of the picture.</figcaption></figure><ul><li>first point</li><li>second point</li></ul><form><p>Subscribe for more of this.</p><input></form><p>Last one.</p>
+    <div class="comments-area"><h3>2 comments</h3><ol class="comment-list"><li><p>I do not agree with this at all, sorry.</p></li></ol></div></article>
+    <div class="widget-area sidebar"><h2>Popular</h2><p>The most read story of the week, with many words in it.</p></div></div><div class="cookie-consent"><p>We use cookies, as everyone does these days.</p></div><footer><p>Imprint and so on, for the law.</p></footer></body></html>"""
+    want = ["Title", "One line of text, and then some more of it.", "Short.", "A caption of the picture.", "first point", "second point", "Last one."]
+    assert text(page, weights).split("\n\n") == want
+    page = """<body><div class="header"><p>Site of the town, since 1900.</p></div><div class="nav"><a href=a>Home</a></div><div class="elementor-widget"><h1>Plain</h1><p>No article element here, but text it is, in a number of words.</p><p>Yes.</p></div>
+    <div class="comment"><p>What a fine page this is, I like it.</p></div><div class="footer">Contact</div></body>"""
+    assert text(page, weights).split("\n\n") == ["Plain", "No article element here, but text it is, in a number of words.", "Yes."]
+
+
 def test_odd_pages(weights, spark):
     for page in (None, "", "   ", "<p>", "<!-- never closed <p>x", "<script>while(1)", "<<<>>><", "<a href='", "</p></p></div>"):
         assert isinstance(text(page, weights), str)
