@@ -33,6 +33,7 @@ from .common import materialise, share, shared
 TRAIN_ROWS = 5_000
 VOCABULARY = 20_000
 MODEL_ENTRIES = 500_000
+SPREAD = 4_000_000
 LANGUAGES = 400
 LONGEST = 4
 STEP = 1.0
@@ -54,33 +55,38 @@ def ngrams(word: str, n: int) -> list[str]:
 
 
 class Frequencies:
-    """token -> log frequency in each language, smoothed by a half. Only the languages that have a token are stored with it."""
+    """Log frequency of tokens in each language, smoothed by a half. Kept by token for the languages that have it; spread out to a
+    matrix where that is small."""
 
     def __init__(self, rows: list[tuple[str, str, int]], languages: list[str]):
-        at = {lang: i for i, lang in enumerate(languages)}
-        self.held: dict[str, tuple] = {}
+        lang_at = {lang: i for i, lang in enumerate(languages)}
+        by: dict[str, list] = {}
+        total = np.zeros(len(languages))
         for lang, token, n in rows:
-            self.held[token] = (*self.held.get(token, ()), at[lang], math.log(n + 0.5))
-        total = np.full(len(languages), 0.5 * len(self.held))
-        for lang, _, n in rows:
-            total[at[lang]] += n
-        self.total = np.log(np.maximum(total, 0.5))
-        self.least = math.log(0.5) - self.total
+            by.setdefault(token, []).append((lang_at[lang], math.log(n + 0.5)))
+            total[lang_at[lang]] += n
+        self.at = {token: i for i, token in enumerate(by)}
+        self.starts = np.cumsum([0, *map(len, by.values())])
+        self.langs = np.array([i for own in by.values() for i, _ in own], np.uint16)
+        self.logs = np.array([x for own in by.values() for _, x in own], np.float32)
+        self.total = np.log(np.maximum(total + 0.5 * len(by), 0.5))
+        self.spread = None
 
     def __len__(self) -> int:
-        return len(self.held)
+        return len(self.at)
 
-    def __contains__(self, token: str) -> bool:
-        return token in self.held
+    def rows(self, at: list[int]) -> np.ndarray:
+        """(len(at), languages) of tokens given by number."""
+        if self.spread is None and len(self.at) * len(self.total) <= SPREAD:
+            self.spread = self._rows(range(len(self.at)))
+        return self._rows(at) if self.spread is None else self.spread[at]
 
-    def get(self, token: str) -> np.ndarray | None:
-        own = self.held.get(token)
-        if own is None:
-            return None
-        out = self.least.copy()
-        for i, x in zip(own[::2], own[1::2]):
-            out[i] = x - self.total[i]
-        return out
+    def _rows(self, at) -> np.ndarray:
+        out = np.full((len(at), len(self.total)), math.log(0.5))
+        for row, i in enumerate(at):
+            own = slice(self.starts[i], self.starts[i + 1])
+            out[row, self.langs[own]] = self.logs[own]
+        return out - self.total
 
 
 class Model:
@@ -138,30 +144,45 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
 
 
 class Scorer(dict):
-    """word -> row of its scores; up to MEMO words are remembered, in a growing array."""
+    """word -> row of its scores; about MEMO words are remembered, in a growing array."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
         self.scores = np.zeros((1024, len(model.languages)))
-        self.unknown = np.full(len(model.languages), -LONGEST * STEP)
 
-    def __missing__(self, word: str) -> int:
-        n = len(self)
-        if n == len(self.scores):
+    def learn(self, words: list[str]) -> None:
+        """Score words that are not known yet, all of them at each step down."""
+        model, first = self.model, len(self)
+        while first + len(words) > len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-        known = self.model.words.get(word)
-        self.scores[n] = self.backoff(word) if known is None else known
-        self[word] = n
-        return n
-
-    def backoff(self, word: str) -> np.ndarray:
+        self.update(zip(words, range(first, first + len(words))))
+        out = self.scores[first : first + len(words)]
+        out[:] = -LONGEST * STEP
+        numbers = [model.words.at.get(w) for w in words]
+        seen = [i for i, n in enumerate(numbers) if n is not None]
+        if seen:
+            out[seen] = model.words.rows([numbers[i] for i in seen])
+        left = [i for i, n in enumerate(numbers) if n is None]
         for down, n in enumerate(range(LONGEST, 0, -1), 1):
-            table = self.model.grams[n]
-            known = [x for g in ngrams(word, n) if (x := table.get(g)) is not None]
-            if known:
-                return sum(known) / len(known) - down * STEP
-        return self.unknown
+            at, hit, counts, flat, rest = model.grams[n].at, [], [], [], []
+            for i in left:
+                known = [k for g in ngrams(words[i], n) if (k := at.get(g)) is not None]
+                if known:
+                    hit.append(i)
+                    counts.append(len(known))
+                    flat += known
+                else:
+                    rest.append(i)
+            if hit:
+                sums = np.add.reduceat(model.grams[n].rows(flat), np.cumsum([0, *counts[:-1]]), axis=0)
+                out[hit] = sums / np.array(counts)[:, None] - down * STEP
+            left = rest
+
+    def row(self, word: str) -> np.ndarray:
+        if word not in self:
+            self.learn([word])
+        return self.scores[self[word]]
 
     def judge(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
@@ -169,6 +190,9 @@ class Scorer(dict):
             return UNDETERMINED, 0.0
         if len(self) > MEMO:
             self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if new:
+            self.learn(new)
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         mean = self.scores[at].sum(axis=0) / len(words)
         best = int(mean.argmax())

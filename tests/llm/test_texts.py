@@ -32,11 +32,12 @@ def test_held_out_accuracy(spark, documents):
 def test_backoff_goes_from_words_to_shorter_ngrams(spark):
     rows = [("aa", "abcd abcd qqqq"), ("bb", "wxyz wxyz rrrr"), (None, "abcd"), ("aa", None)]
     model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
-    assert model.languages == ["aa", "bb"] and set(model.words.held) == {"abcd", "wxyz"}
+    assert model.languages == ["aa", "bb"] and set(model.words.at) == {"abcd", "wxyz"}
+    row = lambda n, g: model.grams[n].rows([model.grams[n].at[g]])[0]
     s = language_id.Scorer(model)
-    assert s.backoff("abcdq") == pytest.approx((model.grams[4].get("^abc") + model.grams[4].get("abcd")) / 2 - 1), "known 4-grams decide"
-    assert s.backoff("kbcdk") == pytest.approx(model.grams[3].get("bcd") - 2) and s.backoff("kzk") == pytest.approx(model.grams[1].get("z") - 4)
-    assert s.backoff("ß") == pytest.approx(s.unknown)
+    assert s.row("abcdq") == pytest.approx((row(4, "^abc") + row(4, "abcd")) / 2 - 1), "known 4-grams decide"
+    assert s.row("kbcdk") == pytest.approx(row(3, "bcd") - 2) and s.row("kzk") == pytest.approx(row(1, "z") - 4)
+    assert s.row("ß").tolist() == [-language_id.LONGEST * language_id.STEP] * 2
     assert s.judge("xabcd bcdq")[0] == "aa" and s.judge("wxy")[0] == "bb"
 
 
