@@ -4,7 +4,8 @@ Each document's characters fall into eight classes and its words into the common
 Both histograms are compared with the language's reference, the sum over all documents of that language that pass
 the base rules, by Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). A document is kept if it passes the base
 rules and neither distance is beyond its limit. Histograms of short documents scatter, so distances count only from
-``LEAST_WORDS`` words on, and a reference counts only if it holds ``LEAST_REFERENCE`` words.
+``LEAST_WORDS`` words on, the limit of words is ``WORD_LIMIT`` and ``WORD_SCATTER`` over the root of their number, and a
+reference counts only if it holds ``LEAST_REFERENCE`` words.
 
 Base rules: fewer than 50 words, or more than half of the words inside 3-word windows that occur twice.
 
@@ -26,7 +27,7 @@ from .common import materialise
 LEAST_WORDS = 50
 LEAST_REFERENCE = 1_000
 CHAR_LIMIT = 0.32
-WORD_LIMIT = 0.34
+WORD_LIMIT, WORD_SCATTER = 0.30, 0.40
 
 #: Frequent function words of each language.
 COMMON_WORDS = {
@@ -111,4 +112,4 @@ def judged(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float =
     chars = F.when(counts, distance(F.col("char_counts"), F.col("ref_chars"))).otherwise(0.0)
     words = F.when(counts & (F.size("word_counts") > 1), distance(F.col("word_counts"), F.col("ref_words"))).otherwise(0.0)
     both = both.withColumn("char_distance", chars).withColumn("word_distance", words)
-    return both.withColumn("kept", ~F.col("base_failed") & (F.col("char_distance") <= char_limit) & (F.col("word_distance") <= word_limit))
+    return both.withColumn("kept", ~F.col("base_failed") & (F.col("char_distance") <= char_limit) & (F.col("word_distance") <= F.lit(word_limit) + F.lit(WORD_SCATTER) / F.sqrt(F.greatest("n_words", F.lit(1)))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CHAR_LIMIT, COMMON_WORDS, LEAST_REFERENCE, LEAST_WORDS, WORD_LIMIT
+from .quality import CHAR_LIMIT, COMMON_WORDS, LEAST_REFERENCE, LEAST_WORDS, WORD_LIMIT, WORD_SCATTER
 
 #: In DuckDB's syntax, in order; what is left over is the eighth class.
 _CLASSES = (r"[a-z]", r"[\x20\x09-\x0D]", r"[A-Z]", r"[.,;:!?''\"()-]", r"[^\x00-\x7F]", r"[#*$%&|<>]", r"[0-9]")
@@ -50,4 +50,4 @@ def sql() -> str:
         FROM k LEFT JOIN r ON k.lang IS NOT DISTINCT FROM r.lang
     )
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND (NOT counts OR char_distance <= {CHAR_LIMIT}) AND (NOT counts OR len(words) < 2 OR word_distance <= {WORD_LIMIT}) AS kept FROM j"""
+           NOT base_failed AND (NOT counts OR char_distance <= {CHAR_LIMIT}) AND (NOT counts OR len(words) < 2 OR word_distance <= {WORD_LIMIT} + {WORD_SCATTER} / sqrt(greatest(n_words, 1))) AS kept FROM j"""

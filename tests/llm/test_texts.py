@@ -204,7 +204,7 @@ def test_distances_and_verdicts(spark, documents):
         chars = js(feats[r.doc_id][0], ref[0]) if counts else 0
         words = js(feats[r.doc_id][1], ref[1]) if counts and len(ref[1]) > 1 else 0
         assert got[r.doc_id].char_distance == pytest.approx(chars, abs=1e-6) and got[r.doc_id].word_distance == pytest.approx(words, abs=1e-6)
-        assert got[r.doc_id].kept == (not failed and chars <= quality.CHAR_LIMIT and words <= quality.WORD_LIMIT)
+        assert got[r.doc_id].kept == (not failed and chars <= quality.CHAR_LIMIT and words <= quality.WORD_LIMIT + quality.WORD_SCATTER / math.sqrt(max(1, n)))
 
 
 def test_quality_agrees_with_labels(spark, documents):
