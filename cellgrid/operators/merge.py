@@ -54,6 +54,17 @@ def purge(state: DataFrame, cutoff_ms: int) -> DataFrame:
     return state.where((~F.col("removed")) | (F.col("updated") >= cutoff_ms))
 
 
+def changes_between(before: Grid, after: Grid, now_ms: int) -> DataFrame:
+    """What turns one grid into another, as unstamped changes: values that are new or differ, and removals at now_ms."""
+    by = [*before.shape.coords, "key"]
+    rest = [*VALUES, "created", "updated", "version"]
+    old = before.entries().select(*by, F.struct(*rest).alias("_old"))
+    both = old.join(after.entries().select(*by, F.struct(*rest).alias("_new")), by, "full_outer").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    gone = F.col("_new").isNull()
+    at = lambda c: F.when(gone, F.lit(now_ms)).otherwise(F.col(f"_new.{c}")).alias(c)
+    return both.select(*by, *[F.col(f"_new.{v}") for v in VALUES], at("created"), at("updated"), F.coalesce("_new.version", F.lit(0)).cast("long").alias("version"), gone.alias("removed"))
+
+
 def visible(state: DataFrame, shape: Shape, registry: Registry) -> Grid:
     return wide(state.where("NOT removed"), shape, registry)
 

@@ -55,8 +55,26 @@ def compare(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return sums.select(state.alias("state"), "behind_by", "ahead_by")
 
 
+#: A vector of at most so many origins is put into the condition of a scan.
+NAMED_ORIGINS = 256
+
+
 def changes_since(rows: DataFrame, known: DataFrame, legacy: int | None = None) -> DataFrame:
-    """Rows whose stamp the vector lacks. The vector has one row an origin; the join is on it, and rows are not moved where it is small."""
+    """Rows whose stamp the vector lacks. A vector of few origins becomes a condition on origin and seq, by which a Parquet scan skips
+    row groups that hold nothing newer; a larger one is joined."""
+    few = known.select("origin", "seq").limit(NAMED_ORIGINS + 1).collect()
+    if len(few) <= NAMED_ORIGINS:
+        real = [(r.origin, r.seq) for r in few if r.origin != legacy]
+        own = [r.seq for r in few if legacy is not None and r.origin == legacy]
+        names = [o for o, _ in real] + [0] * (legacy is not None and 0 not in [o for o, _ in real])
+        lacks = ~F.col("origin").isin(names) if names else F.lit(True)
+        for o, seq in real:
+            if not (legacy is not None and o == 0):
+                lacks = lacks | ((F.col("origin") == o) & (F.col("seq") > seq))
+        if legacy is not None:  # unstamped rows count for the pseudo-origin
+            lacks = lacks | ((F.col("origin") == 0) & (F.col("seq") > own[0] if own else F.lit(True)))
+            lacks = lacks & ~((F.col("origin") == legacy) & (F.col("seq") <= own[0])) if own else lacks
+        return rows.where(lacks)
     origin = F.col("origin") if legacy is None else F.when(F.col("origin") == 0, F.lit(legacy)).otherwise(F.col("origin"))
     seen = known.select(F.col("origin").alias("_origin"), F.col("seq").alias("_seen"))
     return rows.join(seen, origin == F.col("_origin"), "left").where("_seen IS NULL OR seq > _seen").drop("_origin", "_seen")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellgrid.operators import merge, vector
 from cellgrid.registry import Registry
 from cellgrid.shape import Shape
+from cellgrid.streaming.sequence import Sequencer
 from cellgrid.streaming.replica import Replica, ReplicaSet, change_schema
 
 SHAPE, REGISTRY = Shape(1, 100, 8), Registry.of({"a": "i64", "b": "str"})
@@ -110,7 +111,7 @@ def vec(spark, d):
     return spark.createDataFrame(list(d.items()), "origin long, seq long")
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     a, b = vec(spark, {1: 10, 2: 5}), vec(spark, {1: 7, 3: 4})
     d = lambda df: {r.origin: r.seq for r in df.collect()}
     assert d(vector.merge(a, b)) == {1: 10, 2: 5, 3: 4} and d(vector.meet(a, b)) == {1: 7}
@@ -122,7 +123,11 @@ def test_vectors(spark):
     log = frame(spark, [change(1, "a", 1, 1, 0, 3), change(1, "a", 1, 1, 1, 8), change(1, "a", 1, 1, 2, 9)])
     legacy = vector.legacy_origin(4)
     assert legacy < 0 and d(vector.of_log(log, legacy)) == {legacy: 3, 1: 8, 2: 9}
-    assert {r.seq for r in vector.changes_since(log, a, legacy).collect()} == {3, 9}
+    for limit in (256, 0):
+        monkeypatch.setattr(vector, "NAMED_ORIGINS", limit)
+        since = lambda v, *legacy: {r.seq for r in vector.changes_since(log, v, *legacy).collect()}  # noqa: E731, B023
+        assert since(a, legacy) == {3, 9} and since(a) == {3, 9} and since(vec(spark, {})) == {3, 8, 9} and since(vec(spark, {}), legacy) == {3, 8, 9}
+        assert since(vec(spark, {legacy: 3, 1: 7, 2: 9}), legacy) == {8} and since(vec(spark, {legacy: 2, 0: 50}), legacy) == {3, 8, 9} and since(vec(spark, {0: 3})) == {8, 9}
     numbered = vector.stamp(log.drop("origin", "seq").withColumn("nth", F.monotonically_increasing_id()), 6, 40).collect()
     assert {(r.origin, r.seq) for r in numbered} == {(6, 41), (6, 42), (6, 43)}
 
@@ -149,3 +154,34 @@ def test_databases_are_created_by_values_only(spark, tmp_path):
     assert many.names() == ["one"] and {r.x0 for r in many.replica("one").grid().cells.collect()} == {2}
     many.apply(spark.createDataFrame([("one", *change(2, "b", None, 9, 1, 5, True))], schema), 1)
     assert many.replica("one").grid().cells.count() == 0
+
+
+def test_sequence_numbers_are_never_given_twice(spark, tmp_path):
+    path = f"file://{tmp_path}/seq.json"
+    one = Sequencer(spark, path, 7, lease=10)
+    assert list(one.assign(3)) == [1, 2, 3] and one.confirmed_through() == 0
+    one.published([2, 3])
+    assert one.confirmed_through() == 0
+    one.released([1])
+    assert one.confirmed_through() == 3
+    assert list(Sequencer(spark, path, 7, lease=10).assign(2)) == [11, 12], "a lost node's lease is skipped"
+    big = Sequencer(spark, path, 7, lease=10)
+    assert list(big.assign(25))[-1] == 45
+    assert {(r.origin, r.seq) for r in big.stamp(spark.range(2).withColumnRenamed("id", "nth")).collect()} == {(7, 46), (7, 47)}
+
+
+def test_differences_of_grids_replay(spark, tmp_path):
+    from cellgrid.operators import statements
+    from cellgrid.plans.parser import parse
+
+    changes = random_changes(11, 150)
+    start = merge.visible(merge.fold_lww(frame(spark, changes), ["x0"]), SHAPE, REGISTRY)
+    end = statements.update(start, parse("UPDATE (a=-1) WHERE x0 < 3"), 500).grid
+    end = statements.delete(end, parse("DELETE WHERE x0 = 1")).grid
+    diff = merge.changes_between(start, end, 600)
+    stamped = diff.withColumn("origin", F.lit(9).cast("long")).withColumn("seq", F.monotonically_increasing_id() + 1000)
+    replica = Replica(spark, f"file://{tmp_path}/r", SHAPE, REGISTRY)
+    replica.apply(frame(spark, changes), 0)
+    replica.apply(stamped.select(*change_schema(SHAPE).names), 1)
+    as_rows = lambda grid: sorted(map(str, grid.entries().collect()))
+    assert as_rows(replica.grid()) == as_rows(end) and merge.changes_between(end, end, 1).count() == 0
