@@ -18,7 +18,7 @@ def test_commands(spark, tmp_path, capsys):
     assert do("add-column", "hot", "bool") == "added\n" and do("columns") == "hot bool\nn i64\nname str\n"
     assert do("remove-column", "n") == "removed\n" and do("remove-column", "n") == "no such column\n"
     assert do("remove", "1,2", "name") == "removed\n" and do("remove", "1,2", "name") == "not set\n"
-    assert main(["--root", root, "--db", "d", "query", "SELECT FROM"]) == 1 and "BadRequest" in capsys.readouterr().err
+    assert main(["--root", root, "--db", "d", "query", "SELECT *, a"]) == 1 and "BadRequest" in capsys.readouterr().err
     assert main(["--root", root, "--db", "d", "set", "1,2", "n", "i64", "x"]) == 1
     assert main(["--root", root, "--read-only", "--db", "d", "query", "DELETE"]) == 1
     assert do("remove-database", "d") == "removed\n" and do("remove-database", "d") == "no such database\n"
