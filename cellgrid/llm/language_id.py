@@ -41,12 +41,18 @@ CERTAIN = 20
 MEMO = 1 << 18
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
+_SIGN = re.compile(r"[^\W\d_]")
 
 
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def has_letter(text: str) -> bool:
+    """Word characters of the pattern are letters but for some signs like superscript digits."""
+    return any(m[0].isalpha() for m in _SIGN.finditer(text))
+
+
 def ngrams(word: str, n: int) -> list[str]:
     """Of length one the letters themselves; longer ones see where the word begins and ends."""
     if n > 1:
@@ -186,7 +192,7 @@ class Scorer(dict):
 
     def judge(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not words or not self.model.languages:
+        if not words or not self.model.languages or not has_letter(text):
             return UNDETERMINED, 0.0
         if len(self) > MEMO:
             self.clear()

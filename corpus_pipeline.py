@@ -33,7 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = materialise(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    least = F.min(F.struct(*COLUMNS[1:])).alias("row")
+    twice = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "row.*")
     return kept.join(repeated, "doc_id", "left_anti").union(twice.select(COLUMNS))
 
 

@@ -44,7 +44,7 @@ def test_backoff_goes_from_words_to_shorter_ngrams(spark):
 def test_language_of_odd_rows(spark, documents):
     model = language_id.fit(documents)
     long = "und der die das " * 40_000
-    rows = [(1, None, 0.5), (2, "", 0.5), (3, " 12 %% ", 0.5), (4, long, 0.5), (5, "x" * 100_000, 0.5), (6, "the of and to", 0.5), (6, "the of and to", 0.5)]
+    rows = [(1, None, 0.5), (2, "", 0.5), (3, " 12 ² Ⅷ %% ", 0.5), (4, long, 0.5), (5, "x" * 100_000, 0.5), (6, "the of and to", 0.5), (6, "the of and to", 0.5)]
     got = language_id.apply(spark.createDataFrame(rows, "doc_id long, text string, score double"), model).collect()
     assert [(r.doc_id, r.lang_pred) for r in got if r.doc_id != 5] == [(1, "und"), (2, "und"), (3, "und"), (4, "de"), (6, "en"), (6, "en")]
     nothing = language_id.fit(documents.where("false"))
