@@ -47,8 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "cellgrid-shared")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/cellgrid-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cellgrid-{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete what this driver has put into the shared folder so far, archives included; for when all results have been stored."""
+    n = len(_made)
+    while _made:
+        drop_path(spark, _made.pop())
+    return n
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
