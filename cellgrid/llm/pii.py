@@ -7,6 +7,12 @@ neighbours and a few cue words; it is trained from the labelled sentences of ``p
 with L2 penalty, and decoded by Viterbi in numpy batches. An added span must not touch a base span and must pass an
 exact check of its kind (digits of a phone number, Luhn, an address of two parts).
 
+The field only sees words with a digit or an @. Secrets that their surroundings or their form give away are therefore also
+found by pattern (``named_secrets``), whatever the field says: values of six characters or more that follow a secret's
+name and = or :, of letters only or digits only too, and access keys of the form AKIA or ASIA and 16 characters. A plain
+word is no value of a bare ``key``, nor after a colon and a space of ``token``, ``secret`` and the keys, unless it is quoted. A
+digit-free secret with neither a name and = or : before it nor that form is not found.
+
 A word without a digit or an @ is O, in training and decoding. Such words cut the chain, so that the best path
 of a whole text is made of the best paths of its runs of other words, each with its neighbours' shapes. Runs are
 decoded in batches of like lengths, padded to the longest.
@@ -43,6 +49,14 @@ _HEX = re.compile(r"[0-9a-fA-F]+")
 _KEY = re.compile(r"[A-Za-z0-9_+/=-]+")
 #: A secret's name and its value in one word.
 _ASSIGNED = re.compile(r"(?i:token|secret|password|passwd|pwd|pass|key|apikey|api_key|access_key)[=:][\"']?(\S{6,})")
+_SIGNS = re.compile(r"[=:]|A[KS]IA")
+_ACCESS_KEY = re.compile(r"(?<![^\W_])A[KS]IA[A-Z0-9]{16}(?![^\W_])")
+#: A secret's name up to the sign after it. NAME_REACH characters hold the longest one.
+_NAME = re.compile(r"(?i)(?<![^\W_])((?:api|access|secret|private)[_ -]?key|token|secret|password|passwd|pwd|pass|key)[\"']?\s{0,3}\Z")
+NAME_REACH = 24
+_VALUE = re.compile(r"(\s{0,3})(?:\"([^\s\"]{6,})|'([^\s']{6,})|([^\s\"']\S{5,}))")
+_PLACEHOLDER = re.compile(r"\s{0,3}[\"']?(?:<|\$?\{|%\()")
+_PLAIN = re.compile(r"[^\W\d_]?[^\W\d_A-Z]+(?:['’-][^\W\d_A-Z]+)*")
 _WORD = re.compile(r"\S+")
 _OPEN = re.compile(r"[0-9@]")
 _OUTER = "\"'`()[]{}<>.,;:!?*#%$&|~^"
@@ -90,6 +104,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def named_secrets(text: str) -> list[tuple[str, int, int]]:
+    """Values after a secret's name, and access keys. Linear: each value is read once, names are looked for in a bounded reach."""
+    out = []
+    m = _SIGNS.search(text)
+    while m:
+        at, go = m.start(), m.end()
+        if m.end() - at > 1:
+            if key := _ACCESS_KEY.match(text, at):
+                go = key.end()
+                out.append(("secret", at, go))
+        elif (name := _NAME.search(text[max(0, at - NAME_REACH) : at])) and not _PLACEHOLDER.match(text, go) and (value := _VALUE.match(text, go)):
+            start, go = value.span(value.lastindex)
+            said, what = value[value.lastindex], name[1].lower()
+            if value.lastindex == 4:  # without quotes
+                said = said.rstrip(_OUTER)
+                doubtful = what == "key" or value[1] and text[at] == ":" and not what.startswith("pass") and what != "pwd"
+                if doubtful and _PLAIN.fullmatch(said):
+                    said = ""
+            if len(said) >= 6:
+                out.append(("secret", start, start + len(said)))
+        m = _SIGNS.search(text, go)
+    return out
+
+
 def core(word: str) -> str:
     return word.strip(_OUTER)
 
@@ -263,7 +301,19 @@ def all_spans(texts: list[str], tables: Tables) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, decode(texts, tables)):
         base = base_spans(text)
-        out.append((base, [s for s in more if not any(s[1] < e and b < s[2] for _, b, e in base)]))
+        free = [s for s in more + named_secrets(text) if not any(s[1] < e and b < s[2] for _, b, e in base)]
+        out.append((base, _joined(free)))
+    return out
+
+
+def _joined(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans in order; those that overlap as one, of the kind of the longest that begins first."""
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if out and a < out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], max(out[-1][2], b))
+        else:
+            out.append((kind, a, b))
     return out
 
 
