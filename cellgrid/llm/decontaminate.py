@@ -184,10 +184,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     return _by_shuffle(rows, items)
 
 
+def _count(c: str) -> Column:
+    """How many words a text column has."""
+    return F.size(F.expr(f"filter(split(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+'), x -> x <> '')"))
+
+
 def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
-    count = lambda c: F.size(F.expr(f"filter(split(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+'), x -> x <> '')"))
     numbered = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "docs")
-    listed = materialise(items.withColumn("row", F.monotonically_increasing_id()).withColumn("words", count("item_text")), "items")
+    met = _meetings(numbered.select("row", "text"), items)
+    covered = met.groupBy("row").agg(F.countDistinct("pos").alias("n_hit"))
+    named = met.where("item IS NOT NULL").select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    out = numbered.select("row", "doc_id", _count("text").cast("long").alias("n_words")).join(covered, "row", "left").join(named, "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _meetings(numbered: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (row, item, pos) of a materialised table (row, text): its hit word positions."""
+    listed = materialise(items.withColumn("row", F.monotonically_increasing_id()).withColumn("words", _count("item_text")), "items")
     lengths = sorted(r[0] for r in listed.where(f"words > 0 AND words < {SPAN}").select("words").distinct().collect())
     kind = "row long, k int, print long"
     long_items = listed.where(f"words >= {SPAN}").select("row", F.col("item_text").alias("text")).mapInArrow(_prints([]), kind)
@@ -198,25 +211,25 @@ def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     own = numbered.select("row", "text").mapInArrow(_prints(lengths), kind)
     pairs = own.join(known.select(F.col("row").alias("item_row"), "k", "print"), ["k", "print"]).select("row", "item_row").distinct()
     texts = pairs.join(listed.select(F.col("row").alias("item_row"), "item", "item_text"), "item_row").join(numbered.select("row", "text"), "row")
-    met = materialise(texts.select("row", "text", "item", "item_text").mapInArrow(_compare, "row long, item string, pos long").distinct(), "met")
-    covered = met.groupBy("row").agg(F.countDistinct("pos").alias("n_hit"))
-    named = met.where("item IS NOT NULL").select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    out = numbered.select("row", "doc_id", count("text").cast("long").alias("n_words")).join(covered, "row", "left").join(named, "row", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return materialise(texts.select("row", "text", "item", "item_text").mapInArrow(_compare, "row long, item string, pos long").distinct(), "met")
 
 
 def item_digest(items: str) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.col(items)), ","), 256)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold a benchmark window. All columns stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs without the rows that hold a benchmark window, whatever the benchmark's size and the rows' ids. All columns stay."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string"), "text")
-    held = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    if held > BROADCAST_BYTES:
-        bad = contamination(docs, benchmark).where("n_hit > 0").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_bad")).distinct()
-        return docs.join(bad, F.coalesce(F.col("doc_id").cast("string"), F.lit("")) == bad["_bad"], "left_anti")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("item_text"))
+    held = items.agg(F.sum(F.octet_length("item_text") + 64)).first()[0] or 0
+    if held > broadcast_bytes:
+        number = "_row"
+        while number in map(str.lower, docs.columns):
+            number = "_" + number
+        numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "docs")
+        bad = _meetings(numbered.select(F.col(number).alias("row"), "text"), items).select(F.col("row").alias(number)).distinct()
+        return numbered.join(bad, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     index = share(spark, Index([tuple(r) for r in items.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

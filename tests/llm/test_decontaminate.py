@@ -92,3 +92,23 @@ def test_empty_tables(spark):
     assert contamination(docs.where("false"), bench).count() == 0
     row = contamination(docs, bench).select(item_digest("items").alias("h")).first()
     assert row.h == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_clean_judges_rows_not_ids(spark, limit):
+    leak = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, leak, 1), (None, "clean of null id", 2), (None, None, 3), (7, leak.upper(), 4), (7, "clean of id seven", 5), (7, "clean of id seven", 5), (8, "one two three", 6), (0, "", 7), (None, "clean of null id", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)
+    bench = spark.createDataFrame([(1, leak), (None, None)], "item_id long, text string")
+    got = clean(docs, bench, broadcast_bytes=limit)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in rows if r[2] not in (1, 4))
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_clean_equals_brute_force(spark, limit):
+    docs, items = fixture(3)
+    rows = [(i if i % 5 else None, text, k) for k, (i, text) in enumerate((i or 0, text) for i, text in docs)]
+    want = [r for r in rows if not brute([(1, r[1])], items)[0][2]]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string, k int"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(str, map(tuple, clean(d, b, broadcast_bytes=limit).collect()))) == sorted(map(str, want)) and len(want) < len(rows)
