@@ -220,3 +220,13 @@ def apply(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep) + ", lang_pred string, score double"
     return docs.mapInArrow(run, schema)
+
+
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text has no letter; needs no model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([has_letter(t or "") for t in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

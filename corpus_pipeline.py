@@ -16,10 +16,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text, no letter) go; the others stay as they are."""
+    """Documents without a letter go. The others stay, and those without a language get the predicted one; where no document has a
+    language there is no model, and they stay as they are."""
     bound_batches(spark)
     model = language_id.fit(docs, text_col="text", lang_col="lang")
-    return language_id.apply(docs.select(COLUMNS), model).where(F.col("lang_pred") != language_id.UNDETERMINED).select(COLUMNS)
+    if not model.languages:
+        return language_id.lettered(docs.select(COLUMNS))
+    # Undetermined is told by the score, since a corpus may name a language of its own ``und``.
+    judged = language_id.apply(docs.select(COLUMNS), model).where("score > 0")
+    return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

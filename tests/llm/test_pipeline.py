@@ -96,3 +96,14 @@ def test_empty_documents(spark, folder):
         docs = stage(spark, docs, str(folder))
         assert docs.count() == 0
     assert mixing.plan(docs.select(COLUMNS)).agg(F.sum("copies")).first()[0] is None
+
+
+def test_language_stage_fills_and_keeps(spark, folder):
+    en, fr = "the cat and the dog of the house", "le chat et le chien de la maison"
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, en, "en", "s", 1) for i in range(5)] + [(10 + i, fr, "und", "s", 1) for i in range(5)]
+    more = [(20, en + " and the", None, "s", 1), (21, "le chien et " + fr, None, "s", 1), (22, "12 !! \u00b2", None, "s", 1), (23, None, "en", "s", 1), (None, en, None, None, 1)]
+    kept = lambda r: sorted(map(str, map(tuple, corpus_pipeline.languages(spark, spark.createDataFrame(r, kind), str(folder)).collect())))
+    assert kept(rows + more) == sorted(map(str, rows + [(20, en + " and the", "en", "s", 1), (21, "le chien et " + fr, "und", "s", 1), (None, en, "en", None, 1)]))
+    bare = [(i, t, None, s, n) for i, t, _, s, n in rows + more]
+    assert kept(bare) == sorted(str(r) for r in bare if r[0] not in (22, 23))
