@@ -60,14 +60,17 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     )
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **rule) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, row_col: str | None = None, **rule) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target and copies.
 
-    Sizes are counted once and kept as a narrow table in the shared folder, since the totals, the block
+    With row_col that column is carried along as ``row``, and null ids are dealt by their texts, so that many of them don't
+    meet in one block. Sizes are counted once and kept as a narrow table in the shared folder, since the totals, the block
     counts and the ranks all read them.
     """
-    key = F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(seed))), 1, 16)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
+    own = F.col(id_col).cast("string")
+    carried = [F.col(row_col).alias("row")] if row_col else []
+    key = F.substring(F.md5(F.concat_ws("|", F.coalesce(own, F.md5(text_col)) if row_col else own, F.lit(seed))), 1, 16)
+    sized = docs.select(*carried, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
     rows = materialise(sized.withColumn("cls", _size_class()), "mix-sizes")
     per_class = rows.groupBy("source", "cls").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
     # Hex digits of the id's digest deal a size class into 1, 16, 256 ... blocks, by its number of rows.
@@ -91,7 +94,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     placed = _null_safe(ranked.drop("first"), starts, ["source", "cls", "block"])
     end = F.col("before") + F.col("rank")
     copies = F.floor(end * F.col("rate") + F.col("offset")) - F.floor((end - 1) * F.col("rate") + F.col("offset"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return placed.select(*["row"] * bool(row_col), "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def _size_class():
@@ -112,12 +115,8 @@ def _null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 def mix(docs: DataFrame, **rule) -> DataFrame:
     """The mixed corpus: every column of docs once per copy, with ``copy`` counting from 0 (in place of a column of that name). Documents without a copy are gone."""
-    as_key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("key")
-    counts = plan(docs, **rule).select(as_key("doc_id"), "copies").groupBy("key").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows")).where("total > 0")
-    # The document travels as one struct, so that no column of its own can clash. Repeated rows of one id share its
-    # copies evenly; the first rows take what is left over.
-    whole = docs.select(as_key("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"]).alias("doc"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("doc.text", "doc.source"))
-    own = (F.floor(F.col("total") / F.col("rows")) + F.when(F.col("nth") <= F.col("total") % F.col("rows"), 1).otherwise(0)).cast("int")
-    shared = whole.join(counts, "key").withColumn("nth", nth).withColumn("own", own).where("own > 0")
-    return shared.select("doc", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("copy")).select("doc.*", "copy")
+    # The document travels as one struct, so that no column of its own can clash, and meets its copies by its row's number.
+    whole = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"]).alias("doc"))
+    rows = materialise(whole, "mix-docs")
+    counts = plan(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), row_col="row", **rule).where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    return rows.join(counts, "row").select("doc", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")).select("doc.*", "copy")

@@ -140,6 +140,20 @@ def test_mixture_is_repeatable_and_whole(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
+def test_mixture_keeps_the_sources_of_null_ids_apart(spark):
+    rng = random.Random(3)
+    rows = [(None, " ".join([f"{s}{i}"] * rng.randrange(1, 60)), s) for s, n in (("a", 400), ("b", 100), ("c", 300)) for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    sizes, want = sizes_of(rows), filled(sizes_of(rows))
+    copies, taken = collections.Counter((r.text, r.source) for r in got), collections.Counter()
+    for _, text, s in rows:
+        rate = want[s] / sizes[s]
+        assert math.floor(rate) <= copies[text, s] <= math.ceil(rate)
+        taken[s] += copies[text, s] * len(text.split())
+    assert all(abs(taken[s] - want[s]) <= max(0.03 * want[s], 60) for s in sizes)
+    assert {(r.text, r.source, r.copy) for r in got} == {(t, s, k) for (t, s), n in copies.items() for k in range(n)}
+
+
 # quality
 
 
