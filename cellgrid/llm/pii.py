@@ -7,6 +7,9 @@ neighbours and a few cue words; it is trained from the labelled sentences of ``p
 with L2 penalty, and decoded by Viterbi in numpy batches. An added span must not touch a base span and must pass an
 exact check of its kind (digits of a phone number, Luhn, an address of two parts).
 
+Labels have no begin mark, so neighbouring spans of one kind decode as one run of words. A run that fails its check is cut
+into the pieces that hold and cover most of its words; where words are left over, bare numbers are no phone number.
+
 The field only sees words with a digit or an @. Secrets that their surroundings or their form give away are therefore also
 found by pattern (``named_secrets``), whatever the field says: values of six characters or more that follow a secret's
 name and = or :, of letters only or digits only too, and access keys of the form AKIA or ASIA and 16 characters. A plain
@@ -54,6 +57,8 @@ _ACCESS_KEY = re.compile(r"(?<![^\W_])A[KS]IA[A-Z0-9]{16}(?![^\W_])")
 #: A secret's name up to the sign after it. NAME_REACH characters hold the longest one.
 _NAME = re.compile(r"(?i)(?<![^\W_])((?:api|access|secret|private)[_ -]?key|token|secret|password|passwd|pwd|pass|key)[\"']?\s{0,3}\Z")
 NAME_REACH = 24
+#: The most digits of a number that is looked for.
+PIECE_WORDS = 19
 _VALUE = re.compile(r"(\s{0,3})(?:\"([^\s\"]{6,})|'([^\s']{6,})|([^\s\"']\S{5,}))")
 _PLACEHOLDER = re.compile(r"\s{0,3}[\"']?(?:<|\$?\{|%\()")
 _PLAIN = re.compile(r"[^\W\d_]?[^\W\d_A-Z]+(?:['’-][^\W\d_A-Z]+)*")
@@ -231,8 +236,8 @@ def _word_before(text: str, end: int) -> str:
     return text[start:end]
 
 
-def decode(texts: list[str], tables: Tables) -> list[list[tuple[str, int, int]]]:
-    """Spans that the field finds in each text: runs of words of one label, without outer punctuation."""
+def decode(texts: list[str], tables: Tables, split: bool = False) -> list[list[tuple[str, int, int]]]:
+    """Spans that the field finds in each text: runs of words of one label, without outer punctuation. split: runs that fail their check are cut."""
     runs = [(i, at, before, after) for i, text in enumerate(texts) for at, before, after in open_runs(text)]
     runs.sort(key=lambda r: len(r[1]))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -263,14 +268,38 @@ def decode(texts: list[str], tables: Tables) -> list[list[tuple[str, int, int]]]
                 label, first = int(path[row, t]), t
                 while t < len(at) and path[row, t] == label:
                     t += 1
-                span = _trimmed(texts[i], at[first][0], at[t - 1][1])
-                if span and LABELS[label] == "secret" and (m := _ASSIGNED.fullmatch(texts[i], *span)):
-                    span = m.span(1)
-                if label and span and _holds(LABELS[label], texts[i][span[0] : span[1]]):
-                    out[i].append((LABELS[label], *span))
+                if label:
+                    whole = _piece(LABELS[label], texts[i], at[first][0], at[t - 1][1])
+                    out[i] += [whole] if whole else _cut(LABELS[label], texts[i], at[first:t]) if split and t - first > 1 else []
     return [sorted(spans, key=lambda s: s[1:]) for spans in out]
 
 
+def _piece(kind: str, text: str, start: int, end: int) -> tuple[str, int, int] | None:
+    span = _trimmed(text, start, end)
+    if span and kind == "secret" and (m := _ASSIGNED.fullmatch(text, *span)):
+        span = m.span(1)
+    return (kind, *span) if span and _holds(kind, text[span[0] : span[1]]) else None
+
+
+def _cut(kind: str, text: str, at: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Of all ways to cut words into pieces that hold, one that covers most words. No number has more words than PIECE_WORDS digits."""
+    best: list[tuple[int, int, tuple | None]] = [(0, 0, None)]  # words covered up to here, where the last piece begins, the piece
+    for n in range(1, len(at) + 1):
+        now = (best[n - 1][0], n - 1, None)
+        for k in range(n - 1, max(-1, n - 1 - PIECE_WORDS), -1):
+            if best[k][0] + n - k > now[0] and (piece := _piece(kind, text, at[k][0], at[n - 1][1])):
+                now = (best[k][0] + n - k, k, piece)
+        best.append(now)
+    out, n = [], len(at)
+    while n:
+        _, n, piece = best[n]
+        if piece:
+            out.append(piece)
+    if kind == "phone" and best[-1][0] < len(at):  # years in a row are digits enough
+        out = [s for s in out if any(c in "+(-." for c in text[s[1] : s[2]])]
+    return out[::-1]
+
+
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int] | None:
     while start < end and text[start] in _OUTER and text[start] != "(":
         start += 1
@@ -299,7 +328,7 @@ def _holds(kind: str, span: str) -> bool:
 def all_spans(texts: list[str], tables: Tables) -> list[tuple[list, list]]:
     """(base, added) of each text."""
     out = []
-    for text, more in zip(texts, decode(texts, tables)):
+    for text, more in zip(texts, decode(texts, tables, split=True)):
         base = base_spans(text)
         free = [s for s in more + named_secrets(text) if not any(s[1] < e and b < s[2] for _, b, e in base)]
         out.append((base, _joined(free)))

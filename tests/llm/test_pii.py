@@ -152,3 +152,20 @@ def test_secrets_without_a_digit_or_a_letter(field):
 def test_named_secrets_are_linear_on_hard_texts():
     for text in ("key=" * 100_000, "=" * 300_000, "key:<" * 80_000, "pass=!" * 80_000, "AKIA" * 100_000, "password : " * 50_000, "key='" * 80_000, "key=\n" * 80_000):
         pii.named_secrets(text)
+
+
+def test_neighbours_of_one_kind(field):
+    tables = pii.Tables(field)
+    found = lambda text: [(k, text[a:b]) for k, a, b in pii.all_spans([text], tables)[0][1]]
+    assert found("on 4524132264652876 4918187128635271 then") == [("card", "4524132264652876"), ("card", "4918187128635271")]
+    assert found("please ring (646) 555-0134 (212) 555-0199 before ten") == [("phone", "(646) 555-0134"), ("phone", "(212) 555-0199")]
+    assert found("in 1999 2001 2004 and 1914 1918 1939 1945 there was war") == []
+
+
+def test_cuts_cover_most_words():
+    cut = lambda kind, text: [text[a:b] for _, a, b in pii._cut(kind, text, [m.span() for m in re.finditer(r"\S+", text)])]
+    assert cut("card", "4111 1111 1111 1111 7 4012888888881881") == ["4111 1111 1111 1111", "4012888888881881"]
+    assert cut("phone", "(646) 555-0134 (212) 555-0199 (303) 555-0177") == ["(646) 555-0134", "(212) 555-0199", "(303) 555-0177"]
+    assert cut("ip", "1.2.3.4 1.2.3.999 5.6.7.8") == ["1.2.3.4", "5.6.7.8"]
+    assert cut("email", "a@b.co c@d.de") == ["a@b.co", "c@d.de"] and cut("phone", "1 2 3") == []
+    assert sum(len(x.split()) for x in cut("phone", "12345 " * 20_000)) == 20_000
