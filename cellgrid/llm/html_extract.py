@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .html_rows import LABELLED
 
-_MARKUP = re.compile(r"<!--(?:(?!-->).)*+(?:-->|\Z)|<(script|style|title|noscript|template|iframe|textarea|svg|object)\b[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+)>?|<[!?][^>]*+>?", re.S | re.I)
+_MARKUP = re.compile(r"<!--(?:(?!-->).)*+(?:-->|\Z)|<(script|style|title|noscript|iframe|textarea)\b[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+)>?|<[!?][^>]*+>?", re.S | re.I)
+#: What decides where an svg, object or template ends: comments and raw texts can't hold its tags.
+_UNSEEN = re.compile(r"<!--(?:(?!-->).)*+(?:-->|\Z)|<(script|style|noscript|iframe|textarea)\b[^>]*+>|<(/?)(svg|object|template)(?![\w:-])([^>]*+)>?", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SENTENCE_END = re.compile(r"[.!?…][\"'»”)]*$")
@@ -38,6 +40,8 @@ BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html"
     " legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements whose content is no text, from a start tag to the end tag that belongs to it. One without an end tag is empty.
+UNSEEN = frozenset(("svg", "object", "template"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: A start tag of the key ends an open element of the values, unless one of the last group is in between.
 ENDS = {
@@ -65,6 +69,32 @@ class Block:
         self.text, self.links, self.tag, self.path, self.inside, self.flags = text, links, tag, path, inside, frozenset()
 
 
+def _unseen_ends(page: str) -> dict[int, int]:
+    """Where each start tag of an UNSEEN element that has an end tag begins -> where that end tag ends. An end tag belongs to the last open start tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in UNSEEN}
+    unclosed = set()
+    m = _UNSEEN.search(page)
+    while m:
+        pos = m.end()
+        if m[1]:
+            raw = m[1].lower()
+            close = None if raw in unclosed or m[0].endswith("/>") and opened["svg"] else re.compile(rf"</{raw}\b[^>]*>?", re.I).search(page, pos)
+            if close:
+                pos = close.end()
+            elif not m[0].endswith("/>"):
+                unclosed.add(raw)
+        elif m[3]:
+            tag = m[3].lower()
+            if not m[2]:
+                if tag != "svg" or not m[4].endswith("/"):
+                    opened[tag].append(m.start())
+            elif opened[tag]:
+                ends[opened[tag].pop()] = pos
+        m = _UNSEEN.search(page, pos)
+    return ends
+
+
 def parse(page: str) -> list[Block]:
     """Blocks in page order. path: numbers of the open block elements; inside: of all open elements; flags: what these say."""
     blocks: list[Block] = []
@@ -73,6 +103,7 @@ def parse(page: str) -> list[Block]:
     parts: list[str] = []
     links = in_link = serial = 0
     pos, end = 0, len(page)
+    unseen: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal links
@@ -103,6 +134,11 @@ def parse(page: str) -> list[Block]:
         if not m[3]:
             continue
         tag = m[3].lower()
+        if tag in UNSEEN:
+            if unseen is None:
+                unseen = _unseen_ends(page)
+            pos = unseen.get(m.start(), pos)
+            continue
         if m[2]:
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if tag in BLOCK:

@@ -181,3 +181,15 @@ def test_odd_pages(weights, spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     assert sorted(((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df, weights).collect())) == [(1, "", 0), (2, "Same text here.", 15), (2, "Same text here.", 15)]
     assert html_extract.extract(df.where("false"), weights).count() == 0
+
+
+def test_svg_object_and_template_end_with_their_own_tag():
+    from cellgrid.llm.html_extract import parse
+
+    told = lambda page: [b.text for b in parse(page)]
+    for hidden in ('<svg width="1"/>', "<svg />", "<object data=x>", "<template>", "<svg><path d='M0'/>", "<object/>", "<svg><svg/><text>no</text></svg>", "<svg><title/><style/></svg>", "<svg><svg>no</svg>no</svg>", "<object><p>no</object>", "<template><div>no</div></template>", "<SVG><!-- </svg> -->no</SVG>", "<svg><style>a</svg></style>no</svg>"):
+        for after in ("", "<svg><text>no</text></svg>", "<object>no</object><template>no</template>"):
+            assert told(f"<div>{hidden}</div><p>The article.</p>{after}<p>More.</p>") == ["The article.", "More."], hidden + after
+    assert told("<svg-icon></svg-icon><p>The article.</p>") == ["The article."]
+    for page in ("<svg>" * 100_000, "<object>" * 50_000 + "</object>" * 50_000, "<svg><style>" * 50_000, "<template><!--" * 50_000):
+        assert told(page) == []
