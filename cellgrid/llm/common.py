@@ -7,6 +7,7 @@ import pickle
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows, for what is planned and carried out inside; for rows without texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def share(spark: SparkSession, value):
     """A broadcast of a value whose class travels with it, so that executors need not have this package. Only for values of a proven size."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

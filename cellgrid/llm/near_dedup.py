@@ -6,8 +6,10 @@ The work is cut so that no group of copies has to meet in one task and no group
 1. Documents with equal shingle sets (exact copies) form a class; only its smallest id goes on.
 2. Each class has a signature of 128 minima, read as 32 bands of 4. A link at similarity 0.8 shares no
    band with probability (1 - 0.8^4)^32 = 5e-8. A sketch keeps the low byte of each minimum.
-3. Stars: in every bucket each member is paired with the smallest one only, so a bucket of m members gives m - 1
-   pairs. Pairs whose sketches agree make families, the connected components of these pairs.
+3. Stars: (band key, id) is sorted over all partitions by one range shuffle on both columns, so a bucket of any size
+   is spread over as many partitions as its rows fill. In each partition the members of a bucket are paired with the
+   smallest one there, and the smallest ones of a bucket that reaches over partitions with the least of them: a bucket of
+   m members gives m - 1 pairs. Pairs whose sketches agree make families, the connected components of these pairs.
 4. Families: the members of a family meet with their full shingle sets and links are verified there, only between
    members that no link connects yet, so a family of m members gives m - 1 links at most. A family beyond
    ``FAMILY_ROWS`` or ``FAMILY_BYTES`` has its stars verified first; then blocks of the members outside its largest
@@ -30,21 +32,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise, words_ascii
+from .common import batches_of, forget, materialise, words_ascii
 
 BANDS, ROWS = 32, 4
 SIG_LEAST = 80
 SMALL_BUCKET = 32
 BLOCK = 1024
-FAMILY_ROWS, FAMILY_BYTES = 4096, 64 << 20
-#: Ids that are looked up by a broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+FAMILY_ROWS, FAMILY_BYTES = 4096, 16 << 20
+#: Ids or keys that are looked up by a broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Rows of a batch of keys and ids, without texts.
+NARROW_ROWS = 1 << 15
 SEED = 20_240_601
 
 
@@ -100,46 +103,79 @@ def _sign(width: int):
                 n.append(len(h))
                 sig = signature(h, a, b) if len(h) else None
                 digest.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                bands.append(band_keys(sig).tobytes() if len(h) else None)
+                bands.append(band_keys(sig).view(np.int64) if len(h) else None)
                 sketch.append(sig.astype(np.uint8).tobytes() if len(h) else None)
-            made = [batch.column("id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, bands, sketch))]
+            made = [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=["id", "n", "digest", "bands", "sketch"])
 
     return run
 
 
 def _sets(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "hashes": [shingle_hashes(t, width).tobytes() for t in pdf["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = pa.array([shingle_hashes(t, width).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), hashes], names=["id", "hashes"])
 
     return run
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"key": np.frombuffer(b"".join(pdf["bands"]), np.int64), "id": np.repeat(pdf["id"].to_numpy(), BANDS)})
+_MET = "key long, id long, a long, edge boolean"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partition of (key, id), sorted -> the rows of keys that have several, with the key's smallest id here as a. Of the first and the last
+    key of the partition, which may go on in its neighbours, the row of a itself has edge and is told in any case."""
+
+    def told(parts: list[tuple]) -> pa.RecordBatch:
+        key, id_, a, edge = (np.concatenate(x) if parts else [] for x in zip(*parts)) if parts else ([],) * 4
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(id_, pa.int64()), pa.array(a, pa.int64()), pa.array(edge, pa.bool_())], names=["key", "id", "a", "edge"])
+
+    now = None  # key, a, members so far, first of the partition: the run that may go on in the next batch
+    for batch in batches:
+        key, id_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(key):
+            continue
+        starts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+        lengths = np.diff(np.append(starts, len(key)))
+        tops, counts, first = id_[starts].copy(), lengths.copy(), np.zeros(len(starts), bool)
+        inner = np.ones(len(key), bool)
+        inner[starts] = False
+        parts = []
+        if now is None:
+            first[0] = True
+        elif now[0] == key[0]:
+            tops[0], counts[0], first[0], inner[0] = now[1], counts[0] + now[2], now[3], True
+        elif now[2] > 1 or now[3]:
+            parts.append(([now[0]], [now[1]], [now[1]], [now[3]]))
+        ended = np.flatnonzero((counts[:-1] > 1) | first[:-1])
+        parts.append((key[inner], id_[inner], np.repeat(tops, lengths)[inner], np.zeros(int(inner.sum()), bool)))
+        parts.append((key[starts][ended], tops[ended], tops[ended], first[ended]))
+        now = (key[-1], tops[-1], counts[-1], bool(first[-1]))
+        yield told(parts)
+    if now:
+        yield told([([now[0]], [now[1]], [now[1]], [True])])
 
 
 def _matrix(sketches) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), BANDS * ROWS)
 
 
-def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            yield pdf.loc[(_matrix(pdf["sketch_a"]) == _matrix(pdf["sketch_b"])).sum(axis=1) >= SIG_LEAST, ["a", "b"]]
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (_matrix(batch.column(c).to_pylist()) for c in ("sketch_a", "sketch_b"))
+        yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= SIG_LEAST))
 
 
 def _verify(similarity: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ok = []
-            for x, y in zip(pdf["hashes_a"], pdf["hashes_b"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = int(overlaps(x, [y])[0])
                 ok.append(100 * common >= similarity * (len(x) + len(y) - common))
-            yield pdf.loc[ok, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -216,35 +252,40 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], names=["a", "b"])
 
 
-def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_pairs(rows: pa.Table) -> pa.Table:
     """One block of members outside a bucket's largest family against one block of all its members: alike pairs of different families."""
-    q, t = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    x, y = _matrix(list(q["sketch"])), _matrix(list(t["sketch"]))
-    ids, fams = t["id"].to_numpy(), t["family"].to_numpy()
+    rows = rows.to_pylist()
+    q, t = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
     out = []
-    for i, (own, fam) in enumerate(zip(q["id"], q["family"])):
-        near = ((y == x[i]).sum(axis=1) >= SIG_LEAST) & (fams != fam)
-        out += [(min(own, other), max(own, other)) for other in ids[near].tolist()]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    if q and t:
+        y, ids, fams = _matrix([r["sketch"] for r in t]), np.array([r["id"] for r in t]), np.array([r["family"] for r in t])
+        for r in q:
+            near = ((y == np.frombuffer(r["sketch"], np.uint8)).sum(axis=1) >= SIG_LEAST) & (fams != r["family"])
+            out += [(min(r["id"], other), max(r["id"], other)) for other in ids[near].tolist()]
+    return pa.Table.from_batches([_pairs(out)])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (id, comp): comp is the smallest id reachable. Ids without a link are not returned.
 
-    Alternates large-star and small-star until the links stay the same; each round is a table in the shared folder.
+    Alternates large-star and small-star until the links stay the same; each round is a table in the shared folder. The least
+    neighbours are as many as links at most: they are broadcast while links are few, else written first, so that both sides of
+    the join come from shuffles that adaptive execution can split at the centre of a large star.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "cc")
     mark = _mark(now)
     while True:
+        few = 2 * mark[0] <= BROADCAST_IDS
+        meant = F.broadcast if few else lambda df: materialise(df, "cc-least")
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        least = meant(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = meant(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         then = materialise(small, "cc")
-        forget(large)
-        forget(now)
+        for used in (large, now, least, low):
+            forget(used)
         now, was, mark = then, mark, _mark(then)
         if mark == was:
             break
@@ -259,56 +300,90 @@ def _mark(edges: DataFrame) -> tuple:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(rows.mapInArrow(_sign(shingle_words), "id long, n long, digest binary, bands binary, sketch binary"), "signatures")
+    signed = materialise(rows.mapInArrow(_sign(shingle_words), "id long, n long, digest binary, bands array<long>, sketch binary"), "signatures")
     full = signed.where("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = materialise(full.join(classes, "digest").where("id = rep").select("id", "n", "bands", "sketch").dropDuplicates(["id", "sketch"]), "classes")
+    classes = materialise(full.select("id", "digest").groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
+    # (id, digest) is no hot key, however many copies a text has.
+    firsts = full.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
+    reps = materialise(firsts.select("id", "digest", "n", "bands", "sketch").distinct().drop("digest"), "reps")
     links = _links(rows, reps, shingle_words, similarity)
     # Rows with one id but several texts tie the classes of these texts together.
-    repeated = full.select("id", "digest").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("id")
-    tied = full.join(repeated, "id").join(classes, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    repeated = full.groupBy("id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("id")
+    tied = full.select("id", "digest").join(repeated, "id").join(classes, "digest").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     comps = connected_components(links.union(tied))
-    by_class = classes.join(comps, classes["rep"] == comps["id"], "left").select("digest", F.coalesce("comp", "rep").alias("of_class"))
-    out = signed.select("id", "n", "digest").join(by_class, "digest", "left")
+    # Only the classes of several ids, or with links, change the component of a row.
+    moved = classes.join(comps, classes["rep"] == comps["id"], "left").where("comp IS NOT NULL OR rep <> last").select("digest", F.coalesce("comp", "rep").alias("of_class"))
+    out = signed.select("id", "n", "digest").join(looked_up(materialise(moved, "moved")), "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("of_class", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one with the smallest id, null ids last. Rows are told apart by number and not by
+    id, so rows of one id, or of null id, with unlike texts stay, and rows without a word all stay. All columns stay."""
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row = "_" + row
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "docs")
+    judged = near_duplicates(numbered, row, text_col, shingle_words, similarity).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
+    judged = materialise(judged, "judged")
+    several = looked_up(materialise(judged.where("row <> comp").select("comp").distinct(), "several"))
+    ids = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    members = materialise(judged.join(several, "comp", "left_semi").join(ids, "row"), "members")
+    first = looked_up(materialise(members.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("first")), "firsts"))
+    gone = looked_up(materialise(members.join(first, "comp").where("row <> first").select(F.col("row").alias(row)), "gone"))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def looked_up(table: DataFrame) -> DataFrame:
+    """A materialised table of narrow rows, to be broadcast if it has BROADCAST_IDS of them at most."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def _links(rows: DataFrame, reps: DataFrame, width: int, similarity: int) -> DataFrame:
     """Verified links between classes, enough of them to connect what is connected."""
-    banded = materialise(reps.select("id", "bands").mapInPandas(_bands, "key long, id long"), "bands")
-    low = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    met = materialise(banded.join(low, "key"), "buckets")  # only the buckets in which documents meet
-    stars = materialise(_alike_pairs(met.where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, similarity), "stars")
+    met = _buckets(reps)
+    joints = met.where("edge").groupBy("key").agg(F.min("a").alias("least")).join(met.where("edge").select("key", "a"), "key").where("a <> least")
+    pairs = met.where("id <> a").select("a", F.col("id").alias("b")).union(joints.select(F.col("least").alias("a"), F.col("a").alias("b")))
+    stars = materialise(_alike_pairs(pairs.distinct(), reps, similarity), "stars")
     families = materialise(connected_components(stars).select("id", F.col("comp").alias("family")), "families")
     sets = _set_table(rows, families.select("id"), width)
     inside = _inside_families(families, stars, sets, reps, similarity)
-    placed = met.select("key", "id").join(families, "id", "left").select("key", "id", F.coalesce("family", "id").alias("family"))
+    placed = met.select("key", "id").join(looked_up(families), "id", "left").select("key", "id", F.coalesce("family", "id").alias("family"))
     mixed = placed.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
+    mixed = looked_up(materialise(mixed, "mixed"))
     rest = materialise(placed.join(mixed, "key"), "rest")
     few = rest.where(F.col("m") <= SMALL_BUCKET).select("key", "id", "family")
     x, y = few.toDF("key", "a", "family_a"), few.toDF("key", "b", "family_b")
     small = x.join(y, "key").where("a < b AND family_a <> family_b").select("a", "b").distinct()
-    large = _large_buckets(rest.where(F.col("m") > SMALL_BUCKET), reps)
-    across = materialise(_alike_pairs(small, reps, similarity).union(large).distinct(), "across")
+    across = _alike_pairs(small, reps, similarity)
+    large = rest.where(F.col("m") > SMALL_BUCKET)
+    if not large.isEmpty():
+        across = across.union(_large_buckets(large, reps))
+    across = materialise(across.distinct(), "across")
     more = _set_table(rows, across.select(F.col("a").alias("id")).union(across.select("b")).distinct(), width)
     return inside.union(_verified(across, more, similarity))
 
 
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(key, id, a, edge) of the buckets in which documents meet."""
+    spread = reps.select(F.explode("bands").alias("key"), "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    with batches_of(reps.sparkSession, NARROW_ROWS):
+        return materialise(spread.mapInArrow(_meet, _MET), "buckets")
+
+
 def _alike_pairs(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """Pairs whose sizes admit the similarity and whose sketches agree."""
     slim = reps.select("id", "n", "sketch")
     a, b = slim.toDF("a", "n_a", "sketch_a"), slim.toDF("b", "n_b", "sketch_b")
     sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
-    return sized.select("a", "b", "sketch_a", "sketch_b").mapInPandas(_alike, "a long, b long")
+    return sized.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a long, b long")
 
 
 def _set_table(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(id, hashes) of the wanted ids: a few are looked up where the texts are read, more meet them by a shuffle."""
-    wanted = materialise(wanted.distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = rows.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
-    return materialise(texts.mapInPandas(_sets(width), "id long, hashes binary").dropDuplicates(["id", "hashes"]), "sets")
+    texts = rows.join(looked_up(materialise(wanted.distinct(), "wanted")), "id", "left_semi")
+    return materialise(texts.mapInArrow(_sets(width), "id long, hashes binary").distinct(), "sets")
 
 
 def _inside_families(families: DataFrame, stars: DataFrame, sets: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
@@ -347,16 +422,17 @@ def _by_family(rows: DataFrame, similarity: int) -> DataFrame:
 def _large_buckets(rest: DataFrame, reps: DataFrame) -> DataFrame:
     by_family = rest.groupBy("key", "family").agg(F.count(F.lit(1)).alias("k"))
     main = by_family.groupBy("key").agg(F.max_by("family", F.struct("k", "family")).alias("main"), F.max("k").alias("k"), F.sum("k").alias("all"))
-    members = rest.join(main, "key").join(reps.select("id", "sketch"), "id")
+    members = rest.join(looked_up(materialise(main, "main")), "key").join(reps.select("id", "sketch"), "id")
     members = members.withColumn("nq", F.ceil((F.col("all") - F.col("k")) / BLOCK).cast("int")).withColumn("nt", F.ceil(F.col("all") / (4 * BLOCK)).cast("int"))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
     asks = members.where("family <> main").withColumn("qb", spread("nq")).withColumn("tb", every("nt")).withColumn("side", F.lit(0))
     told = members.withColumn("tb", spread("nt")).withColumn("qb", every("nq")).withColumn("side", F.lit(1))
     cols = ["key", "qb", "tb", "side", "id", "family", "sketch"]
-    return asks.select(cols).union(told.select(cols)).groupBy("key", "qb", "tb").applyInPandas(_block_pairs, "a long, b long")
+    return asks.select(cols).union(told.select(cols)).groupBy("key", "qb", "tb").applyInArrow(_block_pairs, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Sets of b are joined first: a is the centre of a star, whose set would else be copied for each of its pairs."""
     a, b = sets.toDF("a", "hashes_a"), sets.toDF("b", "hashes_b")
-    return pairs.join(a, "a").join(b, "b").mapInPandas(_verify(similarity), "a long, b long").distinct()
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verify(similarity), "a long, b long").distinct()

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from cellgrid.llm import near_dedup
+from cellgrid.llm import near_dedup, queries
 from cellgrid.llm.common import words_ascii
 from cellgrid.llm.near_dedup import connected_components, near_duplicates
 
@@ -85,6 +86,26 @@ def test_repeated_id_ties_its_texts(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_query_equals_brute_force_on_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = queries.op4_minhash_dedup(spark, sf).collect()
+    want = brute(rows)
+    assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert sum(k != c for k, (_, c) in want.items()) > 20
+
+
+def test_buckets_over_batches_and_partitions():
+    """Members of a key that goes over batches meet its first one; the first and last key of a partition say that they may go on."""
+    rows = [(1, 5), (1, 6), (2, 1), (3, 1), (3, 4), (3, 9), (3, 9), (4, 2), (5, 7)]
+    for size in range(1, len(rows) + 1):
+        cut = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in (0, 1)], names=["key", "id"]) for part in cut]
+        got = sorted(tuple(r.values()) for b in near_dedup._meet(iter(batches)) for r in b.to_pylist())
+        assert got == [(1, 5, 5, True), (1, 6, 5, False), (3, 1, 1, False), (3, 4, 1, False), (3, 9, 1, False), (3, 9, 1, False), (5, 7, 7, True)]
+    assert list(near_dedup._meet(iter([]))) == []
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(500, i) for i in range(501, 560)]

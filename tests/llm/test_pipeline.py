@@ -84,10 +84,13 @@ def test_run_gives_the_same_rows_again(spark, folder, rows):
 
 
 def test_repeated_rows_and_null_ids(spark, folder):
-    text = "the of and to in a is that for it as was with be by on " * 4
-    docs = spark.createDataFrame([(1, text, "en", "s", 1), (1, text, "en", "s", 1), (None, text, "en", "s", 1), (2, text + "x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    """Rows are judged by their texts: unlike texts of one id stay, like ones go whatever their ids."""
+    text, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = [(1, text), (1, text), (1, other), (None, text), (2, text + " x"), (None, third), (None, third + " y"), (3, other + " z"), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], kind)
     got = corpus_pipeline.near_duplicates(spark, docs, str(folder)).collect()
-    assert sorted(str(r.doc_id) for r in got) == ["1", "None"]
+    assert sorted((str(r.doc_id), str(r.text)[:2]) for r in got) == [("1", "a0"), ("1", "b0"), ("4", "No"), ("4", "No"), ("5", ""), ("None", "c0")]
 
 
 def test_empty_documents(spark, folder):
