@@ -28,19 +28,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once where its row is repeated; 5-word shingles, similarity 0.8."""
+    """Of each group of near-duplicate rows the one with the smallest id stays; 5-word shingles, similarity 0.8. Rows that only share an id all stay."""
     bound_batches(spark)
-    judged = near_dedup.near_duplicates(docs, shingle_words=5, similarity=80)
-    gone = materialise(judged.where("NOT kept").select("doc_id").distinct(), "gone")
-    few = gone.count() <= near_dedup.BROADCAST_IDS
-    kept = docs.select(COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    repeated = judged.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id")
-    repeated = materialise(repeated, "repeated")
-    if repeated.isEmpty():
-        return kept
-    least = F.min(F.struct(*COLUMNS[1:])).alias("row")
-    twice = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "row.*")
-    return kept.join(repeated, "doc_id", "left_anti").union(twice.select(COLUMNS))
+    return near_dedup.representatives(docs.select(COLUMNS), shingle_words=5, similarity=80)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
