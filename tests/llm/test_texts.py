@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,18 +30,84 @@ def test_held_out_accuracy(spark, documents):
     assert len(got) > 100 and hit / len(got) >= 0.99 and all(0 <= r.score <= 1 for r in got)
 
 
+def trained(rows):
+    """Word counts and n-gram counts by language, plainly: {size: {lang: Counter}}."""
+    counts = {n: collections.defaultdict(collections.Counter) for n in range(5)}
+    for lang, text in {(lang, text) for lang, text in rows if lang is not None and text is not None}:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts[0][lang][w] += 1
+            for n in range(1, 5):
+                padded = w if n == 1 else f"^{w}$"
+                for i in range(len(padded) - n + 1):
+                    counts[n][lang][padded[i : i + n]] += 1
+    return counts
+
+
+def plainly(text, counts, languages):
+    """The language of a whole text and its confidence: word by word, in floating point."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(w.isalpha() for w in words):
+        return "und", 0.0
+    total, kinds = dict.fromkeys(languages, 0.0), {n: len(set().union(*counts[n].values())) for n in counts}
+    log = lambda n, lang, token: math.log((counts[n][lang][token] + 0.5) / (sum(counts[n][lang].values()) + 0.5 * kinds[n]))
+    known = lambda n, token: any(token in c for c in counts[n].values())
+    for w in words:
+        for n in (0, 4, 3, 2, 1):
+            tokens = [w] if n == 0 else language_id.ngrams(w, n)
+            tokens = [t for t in tokens if known(n, t)]
+            if tokens:
+                for lang in languages:
+                    total[lang] += sum(log(n, lang, t) for t in tokens) / len(tokens)
+                break
+    best = max(sorted(languages), key=total.get)
+    return best, 1 / sum(math.exp(max(-700, (total[lang] - total[best]) / len(words) * min(20, len(words)))) for lang in languages)
+
+
+@pytest.mark.parametrize("entries", [language_id.BROADCAST_ENTRIES, 0])
+def test_whole_texts_equal_a_plain_scorer(spark, monkeypatch, entries):
+    """Both ways, the broadcast model and the joined one, over languages and words of every frequency."""
+    monkeypatch.setattr(language_id, "BROADCAST_ENTRIES", entries)
+    rng = random.Random(4)
+    letters = {lang: "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 9)) for lang in ("de", "en", "x1", "x2", "zz")}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 7)))
+    text = lambda lang: " ".join(word(lang) for _ in range(rng.choice([1, 3, 40])))
+    rows = [(lang, text(lang)) for lang in letters for _ in range(6)] + [("en", None), (None, "qq"), ("zz", "only once"), ("zz", "only once")]
+    texts = [text(rng.choice(list(letters))) for _ in range(40)] + [None, "", "12 \u00b2", "\u0416\u0416", "only", rows[0][1] * 3, "x" * 5000]
+    asked = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)] + [(0, texts[0], "kept")], "_row long, text string, word string").repartition(3)
+    got = language_id.apply(asked, language_id.fit(spark.createDataFrame(rows, "lang string, text string")))
+    assert got.columns == ["_row", "text", "word", "lang_pred", "score"]
+    counts = trained(rows)
+    got = got.collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        lang, score = plainly(r.text, counts, sorted(letters))
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-4), r
+
+
 def test_backoff_goes_from_words_to_shorter_ngrams(spark):
     rows = [("aa", "abcd abcd qqqq"), ("bb", "wxyz wxyz rrrr"), (None, "abcd"), ("aa", None)]
-    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
-    assert model.languages == ["aa", "bb"] and set(model.words.at) == {"abcd", "wxyz"}
-    row = lambda n, g: model.grams[n].rows([model.grams[n].at[g]])[0]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string")).lookup()
+    assert model.languages == ["aa", "bb"] and len(model.sizes[0].hashes) == 4, "words that stand once are known as well"
     s = language_id.Scorer(model)
-    assert s.row("abcdq") == pytest.approx((row(4, "^abc") + row(4, "abcd")) / 2 - 1), "known 4-grams decide"
-    assert s.row("kbcdk") == pytest.approx(row(3, "bcd") - 2) and s.row("kzk") == pytest.approx(row(1, "z") - 4)
-    assert s.row("ß").tolist() == [-language_id.LONGEST * language_id.STEP] * 2
+
+    def row(n, g):
+        out = model.sizes[n].base[None].copy()
+        model.sizes[n].add(out, np.array([0]), model.sizes[n].find([g]))
+        return out[0]
+
+    both = (row(4, "^abc") - model.sizes[4].base + row(4, "abcd") - model.sizes[4].base) // 2
+    assert (s.row("abcdq") == model.sizes[4].base + both).all(), "known 4-grams decide"
+    assert (s.row("kbcdk") == row(3, "bcd")).all() and (s.row("kzk") == row(1, "z")).all()
+    assert s.row("ß").tolist() == [0, 0]
     assert s.judge("xabcd bcdq")[0] == "aa" and s.judge("wxy")[0] == "bb"
 
 
+def test_ties_go_to_the_first_language(spark):
+    model = language_id.fit(spark.createDataFrame([("b", "one two"), ("a", "one two"), ("c", "three")], "lang string, text string"))
+    lang, score = language_id.Scorer(model.lookup()).judge("one two one")
+    assert lang == "a" and 0.45 < score <= 0.5
+
+
 def test_language_of_odd_rows(spark, documents):
     model = language_id.fit(documents)
     long = "und der die das " * 40_000
@@ -51,13 +118,16 @@ def test_language_of_odd_rows(spark, documents):
     assert {r.lang_pred for r in language_id.apply(documents.limit(3).select("text"), nothing).collect()} == {"und"}
 
 
-def test_model_is_bounded(spark, documents, monkeypatch):
-    monkeypatch.setattr(language_id, "MODEL_ENTRIES", 800)
-    model = language_id.fit(documents, train_rows=20, vocabulary=50)
-    assert len(model.words) <= 160 and len(model.grams[4]) <= 160
-    monkeypatch.undo()
-    model = language_id.fit(documents, train_rows=20, vocabulary=50)
-    assert len(model.words) <= 50 * len(model.languages) and all(len(t) <= 50 * len(model.languages) for t in model.grams.values())
+def test_sample_is_bounded_by_rows_and_keeps_every_language(spark):
+    """500 languages, and a text copied many times: copies train once, and each language gives its share of different texts."""
+    rows = [(f"l{i:03d}", f"w{chr(97 + i % 26)}{chr(97 + i // 26)} same") for i in range(500)]
+    many = [("big", f"big {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x") for i in range(400)] + [("big", "copied copied")] * 2000
+    model = language_id.fit(spark.createDataFrame(rows + many, "lang string, text string"), train_rows=50)
+    assert len(model.languages) == 501
+    got = {r.token: r.n for r in model.table.where("size = 0").where(F.col("lang") == model.languages.index("big")).collect()}
+    assert got.get("big", 0) + got.get("copied", 0) // 2 == 50 and got.get("copied", 0) in (0, 2)
+    asked = spark.createDataFrame([(r[0], r[1].split()[0]) for r in rows], "lang string, text string")
+    assert language_id.apply(asked, model).where("lang <> lang_pred").count() == 0
 
 
 # mixing
