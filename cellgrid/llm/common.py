@@ -100,6 +100,15 @@ def forget(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+#: Rows of ids, keys or counts that are looked up by a broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def looked_up(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A materialised table of narrow rows, to be broadcast if it has BROADCAST_IDS (or most) of them at most."""
+    return F.broadcast(table) if table.count() <= (BROADCAST_IDS if most is None else most) else table
+
+
 def words_ascii(text: str | None) -> list[bytes]:
     r"""Words ``[^\x20\x09-\x0D]+`` with A-Z lower-cased, as UTF-8. bytes.split() parts at exactly these six characters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import batches_of, forget, materialise, words_ascii
 
 BANDS, ROWS = 32, 4
@@ -44,8 +45,7 @@ SIG_LEAST = 80
 SMALL_BUCKET = 32
 BLOCK = 1024
 FAMILY_ROWS, FAMILY_BYTES = 4096, 16 << 20
-#: Ids or keys that are looked up by a broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = common.BROADCAST_IDS
 #: Rows of a batch of keys and ids, without texts.
 NARROW_ROWS = 1 << 15
 SEED = 20_240_601
@@ -336,8 +336,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def looked_up(table: DataFrame) -> DataFrame:
-    """A materialised table of narrow rows, to be broadcast if it has BROADCAST_IDS of them at most."""
-    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+    return common.looked_up(table, BROADCAST_IDS)
 
 
 def _links(rows: DataFrame, reps: DataFrame, width: int, similarity: int) -> DataFrame:

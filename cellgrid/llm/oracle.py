@@ -82,23 +82,22 @@ DECONTAMINATE = r"""
 
 CHAT = r"""
     WITH t AS (
-        SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '<\|') AS name, replace(coalesce(text, ''), '<|', '<\|') AS body,
-               CAST(floor(coalesce(turn, 0) / 64) AS BIGINT) AS part FROM conversations
+        SELECT conv_id, turn, replace(coalesce(role, ''), '<|', '<\|') AS name, replace(coalesce(text, ''), '<|', '<\|') AS body FROM conversations
     ), n AS (
-        SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, name, body) - 1 AS nth FROM t
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name, body) AS nth FROM t
     ), s AS (
         SELECT DISTINCT conv_id, name AS speaker FROM t WHERE name <> ''
     ), v AS (
-        SELECT n.conv_id, speaker, part, nth, CAST(floor(nth / 64) AS BIGINT) AS piece, name = speaker AS mine,
+        SELECT n.conv_id, speaker, nth, name = speaker AS mine,
                CASE WHEN name = speaker THEN '<|assistant|>' WHEN name = '' THEN '<|user name=unknown|>' ELSE '<|user name=' || name || '|>' END || chr(10) AS head,
                body || '<|end|>' || chr(10) AS rest
         FROM n JOIN s ON n.conv_id IS NOT DISTINCT FROM s.conv_id
     ), p AS (
-        SELECT *, sum(length(head) + length(rest)) OVER (PARTITION BY conv_id, speaker, part, piece ORDER BY nth) AS stop FROM v
+        SELECT *, sum(length(head) + length(rest)) OVER (PARTITION BY conv_id, speaker ORDER BY nth) AS stop FROM v
     )
-    SELECT conv_id, speaker, part, piece, count(*) AS n_turns, string_agg(head || rest, '' ORDER BY nth) AS text,
+    SELECT conv_id, speaker, CAST(0 AS BIGINT) AS piece, count(*) AS n_turns, CAST(0 AS BIGINT) AS n_context, string_agg(head || rest, '' ORDER BY nth) AS text,
            coalesce(string_agg(CAST(stop - length(rest) AS BIGINT) || ':' || CAST(stop - 1 AS BIGINT), ',' ORDER BY nth) FILTER (WHERE mine), '') AS mask
-    FROM p GROUP BY conv_id, speaker, part, piece"""
+    FROM p GROUP BY conv_id, speaker"""
 
 WARC = """
     WITH p AS (

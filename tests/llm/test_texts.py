@@ -309,34 +309,43 @@ def test_quality_of_odd_tables(spark, documents):
 # chat
 
 
-def rendered(rows):
-    """All perspectives, whole conversations."""
+def rendered(rows, whole=256, piece=64, context=16):
+    """All perspectives: {(conversation, speaker, piece): (text, trained spans, turns, context turns)}."""
     out = {}
     for conv in {r[0] for r in rows}:
         turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
-        for me in {r[2] for r in turns if r[2]}:
-            text, mask = "", []
-            for _, _, role, body in turns:
-                text += "<|assistant|>\n" if role == me else f"<|user name={role or 'unknown'}|>\n"
-                start = len(text)
-                text += (body or "") + "<|end|>\n"
-                if role == me:
-                    mask.append(text[start : len(text) - 1])
-            out[conv, me] = text, mask
+        cuts = [(0, 0, len(turns))] if len(turns) <= whole else [(i // piece, i, i + piece) for i in range(0, len(turns), piece)]
+        for nth, start, stop in cuts:
+            first = max(0, start - context) if nth else 0
+            for me in {r[2] for r in turns[start:stop] if r[2]}:
+                text, mask = "", []
+                for i, (_, _, role, body) in enumerate(turns[first:stop], first):
+                    text += "<|assistant|>\n" if role == me else f"<|user name={role or 'unknown'}|>\n"
+                    at = len(text)
+                    text += (body or "") + "<|end|>\n"
+                    if role == me and i >= start:
+                        mask.append(text[at : len(text) - 1])
+                out[conv, me, nth] = text, mask, min(stop, len(turns)) - first, start - first
     return out
 
 
-@pytest.mark.parametrize("piece", [64, 2])
-def test_perspectives(spark, monkeypatch, piece):
-    monkeypatch.setattr(chat, "PIECE", piece)
-    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", "é there"), (1, 2, "cid", None), (1, 3, "ann", "bye\nbye"), (2, 5, None, "who"), (2, 5, "ann", "me"), (2, 5, "ann", "me"), (None, None, "z", "lost"), (3, 1, None, "alone"), (3, -7, "bob", "first")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, speaker string")
-    got = collections.defaultdict(list)
+ODD_TURNS = [(1, 0, "ann", "hi"), (1, 1, "bob", "é there"), (1, 2, "cid", None), (1, 3, "ann", "bye\nbye"), (2, 5, None, "who"), (2, 5, "ann", "me"), (2, 5, "ann", "me"), (None, None, "z", "lost"), (3, 1, None, "alone"), (3, -7, "bob", "first")]
+
+
+@pytest.mark.parametrize("limits", [{}, {"WHOLE_TURNS": 2, "PIECE": 2, "CONTEXT": 1}, {"WHOLE_TURNS": 5, "PIECE": 4, "CONTEXT": 3}])
+def test_perspectives(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(chat, name, value)
+    rows = ODD_TURNS + [(4, i, "ann" if i % 3 else "bob", f"t{i}") for i in range(60, 70)] + [(None, 1, "y", f"n{i}") for i in range(7)] + [(5, None, "c", "x" * 300_000), (5, 1, "d", "y")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, speaker string").repartition(3)
+    got = {}
     for r in chat.perspectives(df).collect():
+        assert (r.conv_id, r.speaker, r.piece) not in got
         spans = [tuple(map(int, s.split(":"))) for s in r.mask.split(",") if s]
-        got[r.conv_id, r.speaker].append((r.part, r.piece, r.text, [r.text[a:b] for a, b in spans]))
-    joined = {k: ("".join(p[2] for p in sorted(v)), [m for p in sorted(v) for m in p[3]]) for k, v in got.items()}
-    assert joined == rendered(rows)
+        got[r.conv_id, r.speaker, r.piece] = r.text, [r.text[a:b] for a, b in spans], r.n_turns, r.n_context
+    assert got == rendered(rows, *(limits[k] for k in ("WHOLE_TURNS", "PIECE", "CONTEXT") if limits))
+    if not limits:
+        assert sum(k[0] == 4 for k in got) == 2, "ten turns are whole at any turn numbers"
 
 
 def test_chat_markers_and_empty(spark):
@@ -347,6 +356,10 @@ def test_chat_markers_and_empty(spark):
 
 
 def test_one_conversation_of_many_turns(spark):
-    df = spark.range(5000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 3 = 0, 'a', 'b') AS role", "concat('t', id) AS text")
-    got = chat.perspectives(df)
-    assert got.agg(F.max("n_turns")).first()[0] <= chat.PIECE and got.groupBy("speaker").agg(F.sum("n_turns").alias("n")).where("n = 5000").count() == 2
+    """Pieces are bounded, each turn is trained on once, and a speaker a turn gives no more than a row a turn."""
+    df = spark.range(5000).selectExpr("7L AS conv_id", "id AS turn", "concat('s', id) AS role", "concat('t', id) AS text").repartition(8)
+    got = chat.perspectives(df).select("speaker", "n_turns", "n_context", "mask", "text").collect()
+    assert len(got) == 5000 and max(r.n_turns for r in got) == chat.PIECE + chat.CONTEXT
+    for r in got:
+        a, b = map(int, r.mask.split(":"))
+        assert r.text[a:b] == f"t{r.speaker[1:]}<|end|>"
