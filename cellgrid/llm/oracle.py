@@ -6,9 +6,9 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def url_filter(rules, hosts) -> str:
-    """Rules in their order of length, then exact membership of a host or a parent of it in the list."""
-    listed = ", ".join(f"'{h}'" for h in hosts)
+def url_filter(rules, digits: str) -> str:
+    """Rules in their order of length, then whether a host or a parent of it is listed: three labels or more, and an MD5 that begins with one of the digits."""
+    listed = ", ".join(f"'{d}'" for d in digits)
     fit = lambda h, p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))"
     ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     rule = " ".join(f"WHEN {fit(h, p)} THEN '{h}{p}'" for h, p, _ in ordered)
@@ -23,7 +23,7 @@ def url_filter(rules, hosts) -> str:
             SELECT DISTINCT host FROM parsed
         ), hit AS (
             SELECT DISTINCT host AS bad FROM (SELECT host, unnest(string_split(host, '.')) AS _, generate_subscripts(string_split(host, '.'), 1) AS i FROM keys)
-            WHERE array_to_string(string_split(host, '.')[i:], '.') IN ({listed})
+            WHERE len(string_split(host, '.')) - i >= 2 AND md5(array_to_string(string_split(host, '.')[i:], '.'))[1] IN ({listed})
         )
         SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN bad IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
         FROM parsed p LEFT JOIN hit ON host = bad"""

@@ -19,18 +19,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-#: Hosts that the method blocks with their subdomains: names that stand for unwanted sites in the crawl.
-BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-BLOCKED_HOSTS = tuple(f"{name}.example.{end}" for name in BLOCKED_NAMES for end in ("com", "net", "org"))
+#: The list that the method holds: of the corpus's hosts and their parents those of three labels or more whose MD5 begins with one of these
+#: digits, and LISTED_ELSEWHERE hosts that the corpus doesn't know.
+LISTED_DIGITS, LISTED_ELSEWHERE = "0123", 5_000
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import judge
+    from .url_filter import judge, universe
 
     bound_batches(spark)
-    listed = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
-    return judge(table(spark, sf_dir, "pages"), listed, URL_RULES, keep=["page_id"])
+    pages = table(spark, sf_dir, "pages")
+    known = universe(pages).where(F.size(F.split("key", "[.]")) >= 3).where(F.substring(F.md5("key"), 1, 1).isin(*LISTED_DIGITS)).distinct()
+    elsewhere = spark.range(LISTED_ELSEWHERE).select(F.concat(F.md5(F.col("id").cast("string")), F.lit(".listed.invalid")).alias("key"))
+    return judge(pages, known.union(elsewhere), URL_RULES, keep=["page_id"])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +101,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op2_url_filter": oracle.url_filter(URL_RULES, BLOCKED_HOSTS),
+        "op2_url_filter": oracle.url_filter(URL_RULES, LISTED_DIGITS),
         "op3_mixing": oracle.MIXING,
         "op5_quality": quality_sql.sql(),
         "op6_decontaminate": oracle.DECONTAMINATE,

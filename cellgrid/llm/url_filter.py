@@ -14,9 +14,10 @@ Judging: cascades of at most ``BROADCAST_BYTES`` together are broadcast, and pag
 size pages are dealt by (shard, salt) to copies of the shard's cascade, one shard of keys for each domain
 depth, so that a hot host is spread over ``SALTS`` tasks.
 
-Defined results: a null url or one without :// has empty host and path, fits no rule, and is allowed; keys of the
-list are compared lower-cased; an empty list blocks nothing; repeated pages are judged alike; other columns
-are kept as asked by ``keep``.
+Defined results: a null url or one without :// has empty host and path, fits no rule, and is allowed; A-Z in keys of the
+list are lower-cased as in hosts, other letters stay; null and empty keys list nothing; an empty list blocks nothing; repeated pages
+are judged alike; urls of any length are read whole; rules of one length that fit go by their text; other columns
+are kept as asked by ``keep``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -116,10 +117,15 @@ def _universe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": sorted({p for h in hosts for p in parents(h)})}, dtype=object)
 
 
+def universe(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """(key): hosts of urls and their parent domains; a key may come from several tasks."""
+    return urls.select(F.col(url_col).alias("url")).mapInPandas(_universe, "key string")
+
+
 def cascade(urls: DataFrame, listed: DataFrame, url_col: str = "url") -> tuple[DataFrame, int]:
     """Cascades (shard, level, k, bits, data) of the list (key) over the universe of urls, and the number of shards."""
-    seen = urls.select(F.col(url_col).alias("url")).mapInPandas(_universe, "key string").withColumn("listed", F.lit(False))
-    told = listed.select(F.lower("key").alias("key"), F.lit(True).alias("listed")).where("key IS NOT NULL AND key <> ''")
+    seen = universe(urls, url_col).withColumn("listed", F.lit(False))
+    told = listed.select(F.translate("key", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("key"), F.lit(True).alias("listed")).where("key IS NOT NULL AND key <> ''")
     keys = materialise(seen.union(told).groupBy("key").agg(F.max("listed").alias("listed")), "keys")
     shards = max(1, -(-keys.count() // SHARD_KEYS))
 
@@ -152,8 +158,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules, keep: list[str], url_col:
     levels, shards = cascade(pages, listed, url_col)
     rules = tuple(rules)
     size = levels.agg(F.sum(F.length("data"))).first()[0] or 0
-    rows = pages.select(*keep, F.col(url_col).alias("_url"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", host string, path string, rule string, verdict string"
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{url_col}`").alias("_url"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", host string, path string, rule string, verdict string"
     if size > broadcast_bytes:
         return _by_shuffle(rows, levels, shards, rules, keep)
     held = share(spark, _as_levels(levels.collect()))
@@ -172,7 +178,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules, keep: list[str], url_col:
             parts = [split_url(u) for u in batch.column("_url").to_pylist()]
             said = [decide(h, p, rules, in_list) for h, p in parts]
             made = [[p[0] for p in parts], [p[1] for p in parts], [s[0] for s in said], [s[1] for s in said]]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(m, pa.string()) for m in made], names=[*keep, "host", "path", "rule", "verdict"])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [pa.array(m, pa.string()) for m in made], names=[*keep, "host", "path", "rule", "verdict"])
 
     return rows.mapInArrow(run, schema)
 
@@ -201,6 +207,7 @@ def _by_shuffle(rows: DataFrame, levels: DataFrame, shards: int, rules, keep: li
         said = [decide(h, p, rules, lambda _: False) for h, p in parts]
         return pd.DataFrame({"host": [p[0] for p in parts], "path": [p[1] for p in parts], "rule": [s[0] for s in said], "fits": [s[1] for s in said]}, dtype=object)
 
-    parsed = rows.withColumn("_p", parse("_url")).select(*keep, "_p.host", "_p.path", "_p.rule", "_p.fits")
+    quoted = [F.col(f"`{c}`") for c in keep]
+    parsed = rows.withColumn("_p", parse("_url")).select(*quoted, "_p.host", "_p.path", "_p.rule", "_p.fits")
     verdict = F.when(F.col("rule").isNotNull(), F.col("fits")).when(F.col("_hit"), "block").otherwise("allow")
-    return parsed.join(hits, "host", "left").select(*keep, "host", "path", "rule", verdict.alias("verdict"))
+    return parsed.join(hits, "host", "left").select(*quoted, "host", "path", "rule", verdict.alias("verdict"))

@@ -39,6 +39,19 @@ def test_urls(spark, limit):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: expected(u) for i, u in enumerate(URLS)}
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_odd_urls_and_columns(spark, limit):
+    """Repeated pages, a very long url, a list beyond ASCII, and kept columns whose names need quotes."""
+    long = "http://" + "a." * 500 + "bad.com/" + "x" * 200_000
+    rows = [(1, "http://\u00c4X.example/", "p"), (1, "http://\u00c4X.example/", "p"), (2, "http://\u00e4x.example/", "q"), (3, long, "r"), (4, "http://fine.com/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, `a b` string")
+    listed = spark.createDataFrame([("\u00c4X.Example",), ("BAD.com",)], "key string")
+    got = url_filter.judge(pages, listed, (), ["page_id", "a b"], broadcast_bytes=limit)
+    assert got.columns == ["page_id", "a b", "host", "path", "rule", "verdict"]
+    assert sorted((r.page_id, r["a b"] or "", r.verdict) for r in got.collect()) == [(1, "p", "block"), (1, "p", "block"), (2, "q", "allow"), (3, "r", "block"), (4, "", "allow")]
+    assert got.where("page_id = 3").selectExpr("length(path)").first()[0] == 200_001
+
+
 def test_no_pages_and_no_list(spark):
     pages, listed = spark.createDataFrame([(1, "http://bad.com")], "page_id long, url string"), spark.createDataFrame([], "key string")
     assert url_filter.judge(pages, listed, (), ["page_id"]).first().verdict == "allow"
