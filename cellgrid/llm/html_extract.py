@@ -7,7 +7,12 @@ consecutive blocks of one container that have others between them. The minimum c
 cost; it is found by augmenting paths on the residual graph, and content is what stays on the source's side.
 
 The result is the content blocks in page order: character references decoded, white space inside a block as one
-space, trimmed, joined by an empty line. Nothing else is dropped and nothing is capped.
+space, trimmed, joined by an empty line. Nothing else is dropped and nothing is capped. What a page shows no text of is no block:
+scripts, styles, the title, frames, templates, drawings (svg) and the inside of a text field. ``noscript`` is judged as what stands beside
+the text, the fallback inside ``object`` as text where it stands.
+
+Parsing is linear in the page: open elements are told by a pointer to their parents, and the nearest open one of a tag by an index. A
+node that once failed to reach the other terminal never can, so the search for augmenting paths leaves it out from then on.
 
 Defined results: null, empty or markup-only html gives the empty text; unclosed comments, scripts and tags reach to
 where the next markup can begin, or to the end; a line break is white space inside its block; pages are judged one by one, so
@@ -28,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .html_rows import LABELLED
 
-_MARKUP = re.compile(r"<!--(?:(?!-->).)*+(?:-->|\Z)|<(script|style|title|noscript|iframe|textarea)\b[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+)>?|<[!?][^>]*+>?", re.S | re.I)
-#: What decides where an svg, object or template ends: comments and raw texts can't hold its tags.
-_UNSEEN = re.compile(r"<!--(?:(?!-->).)*+(?:-->|\Z)|<(script|style|noscript|iframe|textarea)\b[^>]*+>|<(/?)(svg|object|template)(?![\w:-])([^>]*+)>?", re.S | re.I)
+_MARKUP = re.compile(r"<!--(?:(?!-->).)*+(?:-->|\Z)|<(script|style|title|iframe|textarea)\b[^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+)>?|<[!?][^>]*+>?", re.S | re.I)
+#: What decides where an svg or template ends: comments and raw texts can't hold its tags.
+_UNSEEN = re.compile(r"<!--(?:(?!-->).)*+(?:-->|\Z)|<(script|style|iframe|textarea)\b[^>]*+>|<(/?)(svg|template)(?![\w:-])([^>]*+)>?", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SENTENCE_END = re.compile(r"[.!?…][\"'»”)]*$")
@@ -38,10 +43,10 @@ _SENTENCE_END = re.compile(r"[.!?…][\"'»”)]*$")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html"
-    " legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    " legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose content is no text, from a start tag to the end tag that belongs to it. One without an end tag is empty.
-UNSEEN = frozenset(("svg", "object", "template"))
+UNSEEN = frozenset(("svg", "template"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: A start tag of the key ends an open element of the values, unless one of the last group is in between.
 ENDS = {
@@ -51,7 +56,7 @@ ENDS = {
 SCOPE = ("div", "article", "section", "main", "aside", "nav", "header", "footer", "form", "li", "td", "th", "table", "body", "blockquote", "figure", "button", "fieldset")
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_WORDS = frozenset("article content entry main post story maincontent articlebody".split())
-AWAY_TAGS = frozenset("nav footer aside form menu button select dialog search fieldset label input datalist".split())
+AWAY_TAGS = frozenset("nav footer aside form menu button select dialog search fieldset label input datalist noscript".split())
 AWAY_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial alert banner breadcrumb breadcrumbs consent cookie cookies copyright dialog disclaimer footer gdpr"
     " imprint login menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup privacy promo promotion"
@@ -63,10 +68,59 @@ FEATURES = ("bias", "away tag", "away word", "talk word", "header", "in main", "
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "path", "inside", "flags")
+    """A run of text. box: number of the nearest block element; sayer: of the nearest element that says something of its text."""
+
+    __slots__ = ("text", "links", "tag", "box", "sayer", "flags")
+
+    def __init__(self, text: str, links: int, tag: str, box: int, sayer: int):
+        self.text, self.links, self.tag, self.box, self.sayer, self.flags = text, links, tag, box, sayer, frozenset()
+
+
+class Page(list):
+    """Blocks in page order. boxes: number of a block element -> (number of the one around it, depth)."""
+
+    def __init__(self):
+        super().__init__()
+        self.boxes: dict[int, tuple[int, int]] = {0: (0, 0)}
 
-    def __init__(self, text: str, links: int, tag: str, path: tuple, inside: tuple):
-        self.text, self.links, self.tag, self.path, self.inside, self.flags = text, links, tag, path, inside, frozenset()
+
+class _Open:
+    """The open elements."""
+
+    def __init__(self, page: Page):
+        self.boxes, self.outer, self.said = page.boxes, {0: 0}, {}  # outer: an element that says something -> the next one around it
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, nearest box, nearest sayer
+        self.at: dict[str, list[int]] = {}
+        self.blocks = [0]
+        self.tags = {0: ""}
+        self.serial = 0
+
+    def nearest(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=0)
+
+    def push(self, tag: str, said: set) -> None:
+        _, box, sayer = self.stack[-1]
+        self.serial += 1
+        place = len(self.stack)
+        if tag in BLOCK:
+            self.boxes[self.serial] = (box, self.boxes[box][1] + 1)
+            box = self.serial
+            self.tags[box] = tag
+            self.blocks.append(place)
+        if said:
+            self.outer[self.serial], self.said[self.serial] = sayer, said
+            sayer = self.serial
+        self.at.setdefault(tag, []).append(place)
+        self.stack.append((tag, box, sayer))
+
+    def cut(self, place: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
 
 
 def _unseen_ends(page: str) -> dict[int, int]:
@@ -95,13 +149,12 @@ def _unseen_ends(page: str) -> dict[int, int]:
     return ends
 
 
-def parse(page: str) -> list[Block]:
-    """Blocks in page order. path: numbers of the open block elements; inside: of all open elements; flags: what these say."""
-    blocks: list[Block] = []
-    stack: list[tuple[str, int, bool]] = [("", 0, True)]  # tag, number, block element
-    said: dict[int, set] = {}
+def parse(page: str) -> Page:
+    """Blocks in page order, with their flags."""
+    blocks = Page()
+    open_ = _Open(blocks)
     parts: list[str] = []
-    links = in_link = serial = 0
+    links = in_link = 0
     pos, end = 0, len(page)
     unseen: dict[int, int] | None = None
 
@@ -110,8 +163,8 @@ def parse(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                top = next(e for e in reversed(stack) if e[2])
-                blocks.append(Block(text, links, top[0], tuple(e[1] for e in stack if e[2]), tuple(e[1] for e in stack if e[1] in said)))
+                _, box, sayer = open_.stack[-1]
+                blocks.append(Block(text, links, open_.tags[box], box, sayer))
             parts.clear()
         links = 0
 
@@ -140,13 +193,13 @@ def parse(page: str) -> list[Block]:
             pos = unseen.get(m.start(), pos)
             continue
         if m[2]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            at = open_.nearest((tag,))
             if tag in BLOCK:
                 flush()
-            elif at and any(e[2] for e in stack[at + 1 :]):
+            elif open_.blocks[-1] > at:
                 at = 0  # an inline end tag doesn't end blocks
             if at:
-                del stack[at:]
+                open_.cut(at)
             if tag == "a":
                 in_link = max(0, in_link - 1)
             continue
@@ -155,63 +208,41 @@ def parse(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            at = 0
-            if tag in ENDS:
-                which, until = ENDS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in which:
-                        at = i
-                        break
-                    if stack[i][0] in until:
-                        break
-            else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        at = i
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
-            if at:
-                del stack[at:]
+            which, until = ENDS.get(tag, (("p",), SCOPE))
+            at = open_.nearest(which)
+            if at > open_.nearest(until):
+                open_.cut(at)
         if tag in VOID or m[4].endswith("/") and tag not in BLOCK:
             continue
-        serial += 1
-        own = _said(tag, m[4])
-        if own:
-            said[serial] = own
-        stack.append((tag, serial, tag in BLOCK))
+        open_.push(tag, _said(tag, m[4]))
         if tag == "a":
             in_link += 1
     flush()
-    _settle(blocks, said)
+    _settle(blocks, open_.said, open_.outer)
     return blocks
 
 
-def _settle(blocks: list[Block], said: dict[int, set]) -> None:
+def _settle(blocks: Page, said: dict[int, set], outer: dict[int, int]) -> None:
     """Flags of blocks. A class that names something beside the text doesn't count at an element that holds the main element or
     half of the page's text: there it tells of the layout (``has-sidebar``). A header inside the main element is part of it."""
-    weight: dict[int, int] = {}
-    holders = set()
+    weight = dict.fromkeys(outer, 0)
     for b in blocks:
-        above = []
-        for e in b.inside:
-            weight[e] = weight.get(e, 0) + len(b.text)
-            above.append(e)
-            if "main tag" in said[e]:
-                holders.update(above)
-    half = sum(len(b.text) for b in blocks) / 2
-    holders |= {e for e, w in weight.items() if w >= half}
-    known: dict[tuple, frozenset] = {}
+        weight[b.sayer] += len(b.text)
+    half = sum(weight.values()) / 2
+    order = sorted(said)  # an element's number is larger than those around it
+    holds_main = dict.fromkeys(outer, False)
+    for e in reversed(order):
+        weight[outer[e]] += weight[e]
+        holds_main[e] |= "main tag" in said[e] and weight[e] > 0
+        holds_main[outer[e]] |= holds_main[e]
+    flags: dict[int, frozenset] = {0: frozenset()}
+    for e in order:
+        out = flags[outer[e]]
+        own = said[e] - {"away word"} if holds_main[e] or weight[e] >= half else said[e]
+        flags[e] = out | (own - {"header"} if "in main" in out else own)
     for b in blocks:
-        if b.inside not in known:
-            out: set = set()
-            for e in b.inside:
-                own = said[e] - {"away word"} if e in holders else said[e]
-                out |= own - {"header"} if "in main" in out else own
-            if out & {"away word", "away tag", "talk word"}:
-                out.discard("in main")
-            known[b.inside] = frozenset(out)
-        b.flags = known[b.inside]
+        own = flags[b.sayer]
+        b.flags = own - {"in main"} if own & {"away word", "away tag", "talk word"} else own
 
 
 def _said(tag: str, attrs: str) -> set:
@@ -285,19 +316,25 @@ def fit(steps: int = 2000, penalty: float = 0.003, rate: float = 0.3) -> np.ndar
 NEAR, NEXT, FAR, SIBLING = 400, 150, 30, 150
 
 
-def edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
+def edges(blocks: Page) -> list[tuple[int, int, int]]:
     out = []
     last_of: dict[int, int] = {}
+    boxes = blocks.boxes
     for i, b in enumerate(blocks):
-        box = b.path[-2] if len(b.path) > 1 else 0
         if i:
-            a = blocks[i - 1].path
-            common = next((k for k, (p, q) in enumerate(zip(a, b.path)) if p != q), min(len(a), len(b.path)))
-            apart = max(len(a), len(b.path)) - common
+            x, y = blocks[i - 1].box, b.box
+            steps = [0, 0]
+            while x != y:  # up to the element around both; as many steps as elements were closed and opened in between
+                if boxes[x][1] >= boxes[y][1]:
+                    x, steps[0] = boxes[x][0], steps[0] + 1
+                else:
+                    y, steps[1] = boxes[y][0], steps[1] + 1
+            apart = max(steps)
             out.append((i - 1, i, NEAR if apart <= 1 else NEXT if apart == 2 else FAR))
-        if box in last_of and last_of[box] < i - 1:
-            out.append((last_of[box], i, SIBLING))
-        last_of[box] = i
+        around = boxes[b.box][0]
+        if around in last_of and last_of[around] < i - 1:
+            out.append((last_of[around], i, SIBLING))
+        last_of[around] = i
     return out
 
 
@@ -314,19 +351,22 @@ def min_cut(gain: list[int], links: list[tuple[int, int, int]]) -> list[bool]:
     for a, b, c in links:
         near[a][b] = near[a].get(b, 0) + c
         near[b][a] = near[b].get(a, 0) + c
+    dead = [False] * n  # nothing leads from here to the other side any more
     for s in range(n):
-        while left[s] > 0:
+        while left[s] > 0 and not dead[s]:
             came, queue, end = {s: s}, deque((s,)), -1
             while queue and end < 0:
                 u = queue.popleft()
                 for v, c in near[u].items():
-                    if c > 0 and v not in came:
+                    if c > 0 and v not in came and not dead[v]:
                         came[v] = u
                         if left[v] < 0:
                             end = v
                             break
                         queue.append(v)
             if end < 0:
+                for v in came:
+                    dead[v] = True
                 break
             flow, v = min(left[s], -left[end]), end
             while v != s:
