@@ -21,7 +21,8 @@ of a whole text is made of the best paths of its runs of other words, each with
 decoded in batches of like lengths, padded to the longest.
 
 Defined results: null text is empty text, with no spans; offsets are code points, ends exclusive; repeated rows are
-judged alike; other columns don't matter; an empty table gives no rows.
+judged alike; texts and words of any length are read whole; other columns are kept, those named base and added are replaced by find;
+redact changes nothing but the text, and a column of sizes if there is one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -311,18 +312,24 @@ def _trimmed(text: str, start: int, end: int) -> tuple[int, int] | None:
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+[\[({]?@[\])}]?[A-Za-z0-9-]+(?:(?:\.|[\[({](?:dot|DOT|\.)[\])}])[A-Za-z0-9-]+)+")
 
 
+#: What a phone number is written with; dates and spans of years that may stand beside other numbers; and how one begins that has no sign in it.
+_NUMBER = re.compile(r"[0-9+() ./_\t\n-]+")
+_DATE = re.compile(r"(?<![0-9])(?:[0-9]{1,2}([./-])[0-9]{1,2}\1(?:1[0-9]|20)[0-9]{2}|(?:1[0-9]|20)[0-9]{2}-(?:[0-9]{2}-[0-9]{2}|(?:1[0-9]|20)[0-9]{2}))(?![0-9])")
+_BEGINS = re.compile(r"0[0-9]")
+
+
 def _holds(kind: str, span: str) -> bool:
     """The exact check of an added span."""
     d = _digits(span)
     if kind == "phone":
-        return 9 <= len(d) <= 15 and not any(c.isalpha() for c in span)
+        return 9 <= len(d) <= 15 and bool(_NUMBER.fullmatch(span)) and not _DATE.search(span) and (any(c in "+(-./" for c in span) or bool(_BEGINS.match(span)))
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d) and not any(c.isalpha() for c in span)
     if kind == "ip":
         return all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in span.split(".")) and span.count(".") == 3
     if kind == "email":
         return bool(_SPELLED.fullmatch(span))
-    return len(span) >= 8 and bool(d) and any(c.isalpha() for c in span)
+    return len(span) >= 8 and bool(d) and any(c.isalpha() for c in span) and not any(c.isspace() for c in span)
 
 
 def all_spans(texts: list[str], tables: Tables) -> list[tuple[list, list]]:
@@ -424,8 +431,8 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 
 def find(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """docs' columns but the text, and the spans: base and added."""
-    keep = [c for c in docs.columns if c != text_col]
+    """docs' columns but the text, and the spans: base and added (in place of columns of these names)."""
+    keep = [c for c in docs.columns if c != text_col and c.lower() not in ("base", "added")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + f", base {_SPANS}, added {_SPANS}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +462,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", size_col: str
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             got = all_spans([t or "" for t in texts], tables)
-            sizes = batch.column(size_col).to_pylist()
+            sizes = batch.column(size_col).to_pylist() if size_col in batch.schema.names else [None] * len(texts)
             for i, (base, added) in enumerate(got):
                 if base or added:
                     merged: list[list] = []
@@ -470,7 +477,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", size_col: str
                         last = b
                     texts[i] = "".join(out) + texts[i][last:]
                     sizes[i] = len(texts[i])
-            new = {text_col: pa.array(texts, pa.string()), size_col: pa.array(sizes, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+            told = [pa.array(texts, f.type) if f.name == text_col else pa.array(sizes, f.type) if f.name == size_col else batch.column(f.name) for f in batch.schema]
+            yield pa.RecordBatch.from_arrays(told, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
