@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CHAR_LIMIT, COMMON_WORDS, LEAST_REFERENCE, LEAST_WORDS, WORD_LIMIT, WORD_SCATTER
+from .quality import CHAR_LIMIT, COMMON, LEAST_REFERENCE, LEAST_SHARE, LEAST_WORDS, WORD_LIMIT, WORD_SCATTER
 
 #: In DuckDB's syntax, in order; what is left over is the eighth class.
 _CLASSES = (r"[a-z]", r"[\x20\x09-\x0D]", r"[A-Z]", r"[.,;:!?''\"()-]", r"[^\x00-\x7F]", r"[#*$%&|<>]", r"[0-9]")
@@ -18,8 +18,6 @@ def _js(p: str, q: str) -> str:
 def sql() -> str:
     count = lambda c: f"length(regexp_replace(t, '[^' || '{c[1:]}', '', 'g'))" if not c.startswith("[^") else f"length(regexp_replace(t, '[{c[2:]}', '', 'g'))"
     chars = ", ".join(count(c) for c in _CLASSES)
-    lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON_WORDS.items())
-    longest = max(map(len, COMMON_WORDS.values())) + 1
     sums = lambda col, n: "[" + ", ".join(f"CAST(sum({col}[{i}]) AS DOUBLE)" for i in range(1, n + 1)) + "]"
     return rf"""
     WITH d AS (
@@ -34,17 +32,25 @@ def sql() -> str:
         SELECT d.row, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
                CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n, 0) AS n_repeat_words,
                list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines, [{chars}] AS part_chars, length(t) AS n_all,
-               CASE lang {lists} ELSE CAST([] AS VARCHAR[]) END AS listed, string_split(lower(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS plain
+               w, len(w) < {LEAST_WORDS} OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
         FROM d LEFT JOIN rep ON d.row = rep.row
+    ), vocabulary AS (
+        SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM f WHERE NOT base_failed) GROUP BY lang, word
+    ), totals AS (
+        SELECT lang, sum(n) AS total FROM vocabulary GROUP BY lang
+    ), ranked AS (
+        SELECT v.lang, word, row_number() OVER (PARTITION BY v.lang ORDER BY n DESC, word) AS rank FROM vocabulary v JOIN totals t ON v.lang IS NOT DISTINCT FROM t.lang WHERE n * {LEAST_SHARE} >= total
+    ), lists AS (
+        SELECT lang, list(word ORDER BY rank) AS listed FROM ranked WHERE rank <= {COMMON} GROUP BY lang
     ), h AS (
-        SELECT row, doc_id, lang, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
-               n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_append(part_chars, n_all - list_sum(part_chars)) AS chars,
-               list_transform(listed, lambda x: len(list_filter(plain, lambda y: y = x))) AS found
-        FROM f
+        SELECT row, doc_id, f.lang, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words,
+               base_failed, list_append(part_chars, n_all - list_sum(part_chars)) AS chars,
+               list_transform(coalesce(listed, CAST([] AS VARCHAR[])), lambda x: len(list_filter(w, lambda y: y = x))) AS found
+        FROM f LEFT JOIN lists ON f.lang IS NOT DISTINCT FROM lists.lang
     ), k AS (
         SELECT *, list_append(found, greatest(n_words - coalesce(list_sum(found), 0), 0)) AS words FROM h
     ), r AS (
-        SELECT lang, {sums('chars', 8)} AS ref_chars, list_filter({sums('words', longest)}, lambda v: v IS NOT NULL) AS ref_words, sum(n_words) AS size FROM k WHERE NOT base_failed GROUP BY lang
+        SELECT lang, {sums('chars', 8)} AS ref_chars, list_filter({sums('words', COMMON + 1)}, lambda v: v IS NOT NULL) AS ref_words, sum(n_words) AS size FROM k WHERE NOT base_failed GROUP BY lang
     ), j AS (
         SELECT k.*, n_words >= {LEAST_WORDS} AND coalesce(size, 0) >= {LEAST_REFERENCE} AS counts, {_js('chars', 'ref_chars')} AS char_distance, {_js('words', 'ref_words')} AS word_distance
         FROM k LEFT JOIN r ON k.lang IS NOT DISTINCT FROM r.lang

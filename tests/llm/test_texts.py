@@ -256,22 +256,32 @@ def js(p, q):
     return math.sqrt(max(0, sum((part(a, (a + b) / 2) + part(b, (a + b) / 2)) / 2 for a, b in zip(p, q))))
 
 
-def histograms(text, lang):
+def histograms(text, listed):
     classes = [str.islower, str.isspace, str.isupper]
     counts = [0] * 8
     for c in text:
         ascii_ = ord(c) < 128
         i = 4 if not ascii_ else 0 if classes[0](c) else 1 if c in " \t\n\x0b\x0c\r" else 2 if classes[2](c) else 3 if c in ".,;:!?'\"()-" else 5 if c in "#*$%&|<>" else 6 if c.isdigit() else 7
         counts[i] += 1
-    listed = quality.COMMON_WORDS.get(lang, ())
-    words = collections.Counter(w for w in re.sub("[\x00-\x40\x5b-\x60\x7b-\x7f]+", " ", text).lower().split(" "))
+    words = collections.Counter(WORD.findall(text))
     found = [words[w] for w in listed]
-    return counts, [*found, max(0, len(WORD.findall(text)) - sum(found))]
+    return counts, [*found, sum(words.values()) - sum(found)]
+
+
+def commonest(rows):
+    """The common words of each language, counted plainly: 16 at most, of those that are a 500th of all words."""
+    seen = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if not base(r.text)[-1]:
+            seen[r.lang].update(WORD.findall(r.text))
+    return {lang: [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0].encode())) if n * 500 >= sum(c.values())][:16] for lang, c in seen.items()}
 
 
 def test_distances_and_verdicts(spark, documents):
     rows = [r for r in documents.collect()]
-    feats = {r.doc_id: histograms(r.text or "", r.lang) for r in rows}
+    lists = commonest(rows)
+    assert len(lists) > 3 and all(len(words) == 16 for words in lists.values())
+    feats = {r.doc_id: histograms(r.text or "", lists.get(r.lang, ())) for r in rows}
     refs = {}
     for r in rows:
         n, *_, failed = base(r.text)
