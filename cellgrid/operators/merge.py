@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid, wide
-from ..registry import Registry
+from ..registry import Registry, valid_name
 from ..shape import Shape
 
 VALUES = ["v_str", "v_f64", "v_i64", "v_bool"]
@@ -69,33 +69,110 @@ def visible(state: DataFrame, shape: Shape, registry: Registry) -> Grid:
     return wide(state.where("NOT removed"), shape, registry)
 
 
+KINDS = ("str", "f64", "i64", "bool")
+
+
+def kind_of() -> Column:
+    """The type of a change's value, null where it has none."""
+    return F.coalesce(*[F.when(F.col(f"v_{k}").isNotNull(), F.lit(k)) for k in KINDS])
+
+
+def interned(batch: DataFrame, shape: Shape, registry: Registry, order: Column) -> tuple[Registry, dict[str, object]]:
+    """The registry with the columns that a batch declares, and what their first value's order is. A new key gets the type of the first
+    value for it inside the grid; names that can't be columns are left out. Columns are as many as the schema's, not as rows."""
+    sets = batch.where(~F.col("removed") & shape.inside() & kind_of().isNotNull() & F.col("key").isNotNull())
+    if registry.live:
+        sets = sets.where(~F.col("key").isin(registry.keys()))
+    firsts = sets.groupBy("key").agg(F.min_by(F.struct(kind_of().alias("kind"), order.alias("at")), order).alias("f"))
+    out = {}
+    for r in sorted(firsts.collect(), key=lambda r: (r.f.at, r.key)):
+        if valid_name(r.key):
+            registry = registry.add(r.key, r.f.kind)
+            out[r.key] = r.f.at
+    return registry, out
+
+
+def judged(batch: DataFrame, shape: Shape, registry: Registry) -> DataFrame:
+    """The batch with ``error``: why a change can't be applied. registry: with the columns that the batch declares."""
+    expected = _typed(registry)
+    bad = F.when(~shape.inside(), "coordinate out of range").when(~F.col("removed") & kind_of().isNull(), "no value")
+    return batch.withColumn("error", bad.when(~F.col("removed") & expected.isNull(), "not a column name").when(~F.col("removed") & (expected != kind_of()), "wrong type"))
+
+
+def _typed(registry: Registry) -> Column:
+    known = F.create_map(*[x for k in registry.keys() for x in (F.lit(k), F.lit(registry.kind(k)))]) if registry.live else F.create_map().cast("map<string,string>")
+    return F.try_element_at(known, F.col("key"))
+
+
 def apply_changes(state: DataFrame, batch: DataFrame, shape: Shape, registry: Registry, keep_tombstones: bool = True) -> tuple[DataFrame, DataFrame]:
     """An ordered batch of changes (state's columns and nth) -> (new state, results (nth, applied, error)).
 
-    A change is applied if it is later than all that stood at its key before it: the state's row and earlier changes of the
-    batch. A change with a bad coordinate or a value of the wrong type has an error and does not touch the others. A
-    removal at a key that was never seen is not applied; without tombstones, nor is one at a key that holds nothing.
+    Changes are taken in order of nth. A value declares its key if that is new; one of another type than its key's has an error, as has
+    one with a bad coordinate, and does not touch the others. A change is applied if it is later than the value or tombstone that stands
+    at its key. A removal of a key that nothing has declared yet is not applied; without tombstones, nor is one where nothing
+    stands, and after one that is applied nothing does. ``interned`` gives the registry that results.
     """
     by = [*shape.coords, "key"]
-    kind = F.coalesce(*[F.when(F.col(f"v_{k}").isNotNull(), F.lit(k)) for k in ("str", "f64", "i64", "bool")])
-    known = F.create_map(*[x for k in registry.keys() for x in (F.lit(k), F.lit(registry.kind(k)))]) if registry.live else F.create_map().cast("map<string,string>")
-    expected = F.try_element_at(known, F.col("key"))
-    error = F.when(~shape.inside(), "coordinate out of range").when(~F.col("removed") & kind.isNull(), "no value").when(~F.col("removed") & (expected != kind), "wrong type")
-    judged = batch.withColumn("error", error)
-    good = judged.where("error IS NULL").withColumn("_old", F.lit(False))
-    old = state.withColumn("nth", F.lit(-1).cast("long")).withColumn("error", F.lit(None).cast("string")).withColumn("_old", F.lit(True))
+    was_known = registry.keys()
+    registry, declared = interned(batch, shape, registry, F.col("nth"))
+    told = judged(batch, shape, registry)
+    since = F.create_map(*[x for k, n in declared.items() for x in (F.lit(k), F.lit(n).cast("long"))]) if declared else F.create_map().cast("map<string,bigint>")
+    known = F.col("key").isin(was_known) | F.coalesce(F.try_element_at(since, F.col("key")) < F.col("nth"), F.lit(False))
+    told = told.withColumn("_known", ~F.col("removed") | known)
+    refused = told.where("error IS NOT NULL OR NOT _known").select("nth", F.lit(False).alias("applied"), "error")
+    good = told.where("error IS NULL AND _known").select(*by, *PAYLOAD, F.col("nth").cast("long").alias("nth"))
+    old = state.select(*by, *PAYLOAD, F.lit(-1).cast("long").alias("nth"))
+    if not keep_tombstones:
+        return _in_order(old.where("NOT removed"), good, by, refused)
+    # With tombstones something stands at a key ever after, so what stands is the latest of all that came before.
     before = Window.partitionBy(*by).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    all_ = old.join(good.select(*by).distinct(), by, "left_semi").unionByName(good).withColumn("_was", F.max(order_of()).over(before))
+    done = all_.where("nth >= 0").withColumn("applied", F.col("_was").isNull() | (order_of() > F.col("_was")))
+    results = done.select("nth", "applied", F.lit(None).cast("string").alias("error")).union(refused)
+    merged = fold_lww(state.select(*by, *PAYLOAD).unionByName(done.where("applied").select(*by, *PAYLOAD)), shape.coords)
+    return merged, results
+
+
+def _in_order(old: DataFrame, good: DataFrame, by: list[str], refused: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without tombstones each change depends on the outcome of those before it: the changes of a (cell, key) stream through one task in order,
+    of which one row is held. Keys that the batch doesn't touch stay where they are."""
+    stamp = order_of()
     touched = good.select(*by).distinct()
-    all_ = old.join(touched, by, "left_semi").unionByName(good).withColumn("_was", F.max(order_of()).over(before))
-    # Of a removal: whether the last applied row before it is a value, and whether the key is known at all.
-    later = F.col("_was").isNull() | (order_of() > F.col("_was"))
-    held = F.max_by(F.struct(F.col("removed")), order_of()).over(before)["removed"]
-    if keep_tombstones:
-        fits = ~F.col("removed") | F.col("_was").isNotNull() | expected.isNotNull()
-    else:
-        fits = ~F.col("removed") | F.coalesce(~held, F.lit(False))
-    done = all_.where("NOT _old").withColumn("applied", later & fits)
-    results = done.select("nth", "applied", F.lit(None).cast("string").alias("error")).union(judged.where("error IS NOT NULL").select("nth", F.lit(False), "error"))
-    applied = done.where("applied").select(*by, *PAYLOAD)
-    merged = fold_lww(state.select(*by, *PAYLOAD).unionByName(applied), shape.coords)
-    return (merged if keep_tombstones else merged.where("NOT removed")), results
+    rows = old.join(touched, by, "left_semi").unionByName(good).select("*", *[stamp[c].alias(f"_{c}") for c in ("updated", "origin", "seq")])
+    schema = rows.select(*by, *PAYLOAD, "nth").withColumn("applied", F.lit(None).cast("boolean")).schema
+    names = schema.names
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = None
+        at = stands = None
+
+        def told(out: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kinds[n]) for n in names], names=names)
+
+        for batch in batches:
+            kinds = kinds or {n: pa.bool_() if n == "applied" else batch.schema.field(n).type for n in names}
+            out = []
+            for r in batch.to_pylist():
+                own = tuple(r[c] for c in by)
+                if own != at:
+                    out += [stands | {"applied": None}] if stands else []
+                    at, stands = own, None
+                time = (r["_updated"], r["_origin"], r["_seq"])
+                if r["nth"] < 0:
+                    stands = r | {"_time": time}
+                    continue
+                ok = not r["removed"] if stands is None else time > stands["_time"]
+                if ok:
+                    stands = None if r["removed"] else r | {"_time": time}
+                out.append(r | {"applied": ok})
+            yield told(out)
+        if stands:
+            yield told([stands | {"applied": None}])
+
+    dealt = rows.repartition(*by).sortWithinPartitions(*by, "nth").mapInArrow(run, schema)
+    # Rows with applied tell what became of a change, those without what stands at the end.
+    results = dealt.where("applied IS NOT NULL").select("nth", "applied", F.lit(None).cast("string").alias("error")).union(refused)
+    state = old.join(touched, by, "left_anti").select(*by, *PAYLOAD).unionByName(dealt.where("applied IS NULL").select(*by, *PAYLOAD))
+    return state, results

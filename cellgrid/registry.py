@@ -16,6 +16,11 @@ STAMP = ("origin", "seq")
 _BAD_KEY = re.compile(r"[\t\r\n]")
 
 
+def valid_name(key: str) -> bool:
+    """Whether a column may have this name."""
+    return bool(key) and not _BAD_KEY.search(key)
+
+
 def type_of(value) -> str:
     """The value type of a Python value."""
     if isinstance(value, bool):
@@ -61,7 +66,7 @@ class Registry:
         """Declare a column; an error if it is live."""
         if key in self.live:
             raise Conflict(f"column {key!r} exists")
-        if not key or _BAD_KEY.search(key):
+        if not valid_name(key):
             raise BadRequest(f"not a column name: {key!r}")
         if kind not in VALUE_TYPES:
             raise BadRequest(f"not a value type: {kind!r}")

@@ -3,7 +3,8 @@
 Changes are files of rows (x0.., key, v_str, v_f64, v_i64, v_bool, created, updated, version, origin, seq, removed). Each
 micro-batch is folded into the state, which stands in generations beside a pointer file; the pointer names the generation and the
 last batch, so a batch that is delivered again changes nothing, and the fold would not change anything either, since it is
-idempotent. Late changes lose to what is newer, tombstones included, until these are purged after the retention.
+idempotent. A value for a key that is new declares its column; the pointer keeps the columns. Changes that can't be applied (a coordinate
+outside the grid, a value of another type than its key's, a name that can't be a column) go to a table of rejects with their error. Late changes lose to what is newer, tombstones included, until these are purged after the retention.
 """
 
 from __future__ import annotations
@@ -35,9 +36,15 @@ class Replica:
     """State of one database at path, fed by batches of changes."""
 
     def __init__(self, spark: SparkSession, path: str, shape: Shape, registry: Registry, retention_ms: int = WEEK_MS):
-        self.spark, self.path, self.shape, self.registry, self.retention_ms = spark, path.rstrip("/"), shape, registry, retention_ms
+        self.spark, self.path, self.shape, self.given, self.retention_ms = spark, path.rstrip("/"), shape, registry, retention_ms
         self.files = Files(spark)
 
+    @property
+    def registry(self) -> Registry:
+        """The columns it was given, and those that changes have declared since."""
+        at = self._pointer()
+        return Registry({k: tuple(v) for k, v in at["columns"].items()}, at["next"]) if "columns" in at else self.given
+
     def _pointer(self) -> dict:
         where = f"{self.path}/pointer.json"
         return json.loads(self.files.read(where)) if self.files.exists(where) else {"generation": 0, "batch": -1}
@@ -54,26 +61,32 @@ class Replica:
         """The version vector of what is stored: what a peer need not send again."""
         return vector.of_log(self.state())
 
-    def valid(self, changes: DataFrame) -> DataFrame:
-        """Changes inside the grid, of known keys, of the right type; removals need no value."""
-        ok = F.lit(False)
-        for key in self.registry.keys():
-            ok = ok | ((F.col("key") == key) & (F.col("removed") | F.col(f"v_{self.registry.kind(key)}").isNotNull()))
-        return changes.where(self.shape.inside() & ok)
+    def rejects(self) -> DataFrame:
+        """Changes that were not applied, with ``error`` and the ``batch`` they came in."""
+        schema = T.StructType([*change_schema(self.shape).fields, T.StructField("error", T.StringType()), T.StructField("batch", T.LongType())])
+        where = f"{self.path}/rejects"
+        return self.spark.read.schema(schema).parquet(where) if self.files.names(where) else self.spark.createDataFrame([], schema)
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         at = self._pointer()
         if batch <= at["batch"]:
             return
-        by = [*self.shape.coords, "key", *merge.PAYLOAD]
-        changes = self.valid(changes).select(by)
-        merged = merge.fold_lww(self.state().select(by).unionByName(changes), self.shape.coords)
-        newest = changes.agg(F.max("updated")).first()[0]
+        names = change_schema(self.shape).names
+        registry, _ = merge.interned(changes, self.shape, self.registry, merge.order_of())
+        told = merge.judged(changes.select(names), self.shape, registry)
+        bad = told.where("error IS NOT NULL")
+        if not bad.isEmpty():
+            bad.write.mode("overwrite").parquet(f"{self.path}/rejects/batch={batch}")
+        # A removal of a key that nobody has declared has nothing to remove.
+        good = told.where(F.col("error").isNull() & F.col("key").isin(registry.keys())).select(names)
+        merged = merge.fold_lww(self.state().select(names).unionByName(good), self.shape.coords)
+        newest = good.agg(F.max("updated")).first()[0]
         if newest is not None:
             merged = merge.purge(merged, newest - self.retention_ms)
         n = at["generation"] + 1
-        merged.select(*change_schema(self.shape).names).write.mode("overwrite").parquet(f"{self.path}/state-{n}")
-        self.files.write(f"{self.path}/pointer.json", json.dumps({"generation": n, "batch": batch}))
+        merged.select(names).write.mode("overwrite").parquet(f"{self.path}/state-{n}")
+        columns = {k: list(v) for k, v in sorted(registry.live.items())}
+        self.files.write(f"{self.path}/pointer.json", json.dumps({"generation": n, "batch": batch, "columns": columns, "next": registry.next_number}))
         if n > 2:
             self.files.delete(f"{self.path}/state-{n - 2}")
 

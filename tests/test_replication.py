@@ -80,6 +80,77 @@ def test_batches_say_what_was_applied(spark):
     assert [got[n] for n in (900, 901, 902)] == [(False, "coordinate out of range"), (False, "wrong type"), (False, "no value")]
 
 
+def model(old, batch, keep):
+    """The batch one change after the other: (values and tombstones by key, answers). old: changes that were applied before."""
+    kinds = {k: REGISTRY.kind(k) for k in REGISTRY.keys()}
+    state, said = {}, []
+    for n, c in enumerate(old + batch):
+        kind = "str" if c[2] is not None else "f64" if c[3] is not None else "i64" if c[4] is not None else None
+        stamp, at = (c[7], unsigned(c[9]), unsigned(c[10])), (c[0], c[1])
+        if not -50 <= c[0] < 50:
+            answer = (False, "coordinate out of range")
+        elif c[11] and c[1] not in kinds:
+            answer = (False, None)
+        elif not c[11] and kinds.setdefault(c[1], kind) != kind:
+            answer = (False, "wrong type")
+        else:
+            now = state.get(at)
+            ok = stamp > now[0] if now else keep or not c[11]
+            if ok:
+                state[at] = (stamp, c)
+                if c[11] and not keep:
+                    del state[at]
+            answer = (ok, None)
+        if n >= len(old):
+            said.append(answer)
+    return {at: c for at, (_, c) in state.items()}, said
+
+
+@pytest.mark.parametrize("keep", [True, False])
+@pytest.mark.parametrize("seed", [5, 6])
+def test_batches_equal_the_model(spark, seed, keep):
+    """Known and new keys, values of several types, bad coordinates, removals before and after values, with and without tombstones."""
+    rng = random.Random(seed)
+    changes = []
+    for k in range(260):
+        key, gone = rng.choice("aabbnm"), rng.random() < 0.35
+        value = None if gone else f"v{k}" if key == "b" or key == "n" and rng.random() < 0.3 else k
+        changes.append(change(rng.choice([0, 1, 2, 3, 60]) if rng.random() < 0.1 else rng.randrange(4), key, value, rng.randrange(30), rng.choice([1, 2, -5]), k + 1, gone))
+    old = [c for c in changes[:60] if c[1] in "ab" and c[0] < 50]
+    batch = changes[60:]
+    before, _ = model(old, [], keep)
+    state = frame(spark, list(before.values()))
+    numbered = frame(spark, batch).withColumn("nth", F.col("seq"))
+    new, results = merge.apply_changes(state, numbered.repartition(3), SHAPE, REGISTRY, keep_tombstones=keep)
+    end, said = model(old, batch, keep)
+    assert as_dict(new) == end
+    assert {r.nth: (r.applied, r.error) for r in results.collect()} == {c[10]: x for c, x in zip(batch, said)}
+
+
+def test_cases_without_tombstones_and_of_new_keys(spark):
+    def answers(state, batch, keep):
+        numbered = frame(spark, batch).withColumn("nth", F.col("seq"))
+        new, results = merge.apply_changes(frame(spark, state), numbered, SHAPE, REGISTRY, keep_tombstones=keep)
+        return [r.applied for r in results.orderBy("nth").collect()], [r.error for r in results.orderBy("nth").collect()], {k: v[4] for k, v in as_dict(new).items() if not v[11]}
+
+    gone, late = change(1, "a", None, 10, 1, 1, True), change(1, "a", 7, 5, 1, 2)
+    assert answers([], [gone, late], False) == ([False, True], [None, None], {(1, "a"): 7})
+    assert answers([change(1, "a", 3, 3, 1, 0)], [gone, late], False) == ([True, True], [None, None], {(1, "a"): 7})
+    new_gone, new_late = change(1, "z", None, 10, 1, 1, True), change(1, "z", 7, 5, 1, 2)
+    assert answers([], [new_gone, new_late], True) == ([False, True], [None, None], {(1, "z"): 7})
+    assert answers([], [change(1, "z", 7, 5, 1, 1), change(2, "z", "text", 6, 1, 2)], True) == ([True, False], [None, "wrong type"], {(1, "z"): 7})
+
+
+def test_replica_takes_new_keys_and_keeps_rejects(spark, tmp_path):
+    replica = Replica(spark, f"file://{tmp_path}/new", SHAPE, REGISTRY)
+    replica.apply(frame(spark, [change(1, "a", 1, 10, 1, 1), change(1, "z", "new", 11, 1, 2), change(2, "z", 5, 12, 1, 3), change(500, "a", 1, 13, 1, 4), change(1, "y", None, 14, 1, 5, True)]), 0)
+    replica.apply(frame(spark, [change(2, "z", "more", 20, 1, 6), change(1, "z", 9, 21, 1, 7)]), 1)
+    again = Replica(spark, f"file://{tmp_path}/new", SHAPE, REGISTRY)
+    assert again.registry.kind("z") == "str" and again.registry.kind("y") is None
+    assert {(r.x0, r.z.v if r.z else None) for r in again.grid().cells.select("x0", "z").collect()} == {(1, "new"), (2, "more")}
+    assert sorted((r.seq, r.error, r.batch) for r in again.rejects().collect()) == [(3, "wrong type", 0), (4, "coordinate out of range", 0), (7, "wrong type", 1)]
+
+
 def test_late_and_early(spark):
     fold = lambda *c: as_dict(merge.fold_lww(frame(spark, list(c)), ["x0"]))
     gone = change(1, "a", None, 20, 1, 2, True)
