@@ -3,14 +3,17 @@
 The directory of a database holds ``manifest.json`` (shape, columns, indexes) and ``cells`` as Parquet, partitioned
 by the chunk numbers c0.. of the first axes. Stored columns are named by their number, so a key that was dropped and added
 again with another type is another column. A write replaces the partitions that it touches and no others, directory
-by directory from a staged copy; partitions that lost their last cell are deleted. All paths go through Hadoop's
-file systems, so the root may be on any store that Spark reads.
+by directory from a staged copy; partitions that lost their last cell are deleted. Before the first directory is moved a journal
+names the staged copy, the directories and the manifest that will hold; whoever opens the database next carries out what a
+journal has left undone, so a driver that dies leaves the state before the write or the one after it. There is one writer at a time.
+All paths go through Hadoop's file systems, so the root may be on any store that Spark reads.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,7 @@ from ..registry import Registry, cell_type
 from ..shape import Shape
 
 NAME = re.compile(r"[A-Za-z0-9_-]+")
-MANIFEST = "manifest.json"
+MANIFEST, JOURNAL = "manifest.json", "journal.json"
 CHUNK_AXES = 2
 
 
@@ -53,8 +56,19 @@ class Files:
         where, fs = self._at(path)
         return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
 
+    def move(self, old: str, new: str) -> None:
+        where, fs = self._at(new)
+        fs.mkdirs(where.getParent())
+        if not fs.rename(self._at(old)[0], where):
+            raise OSError(f"can't move {old} to {new}")
+
+    def has_text(self, path: str) -> bool:
+        """Whether write() has ever put a text there."""
+        return self.exists(path) or self.exists(path + ".next")
+
     def read(self, path: str) -> str:
-        where, fs = self._at(path)
+        """The text that was last written whole."""
+        where, fs = self._at(path + ".next" if self.exists(path + ".next") else path)
         stream = fs.open(where)
         try:
             return bytes(stream.readAllBytes()).decode()
@@ -62,14 +76,19 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """By a temporary name and a rename, so that a reader sees the old text or the new."""
-        where, fs = self._at(path)
-        temp = self.jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-        stream = fs.create(temp, True)
+        """A reader sees the old text or the new, also if this ends halfway: a whole file is renamed to ``.next``, which counts before the
+        path itself, and then takes its place."""
+        if self.exists(path + ".next"):  # left by a write that ended halfway
+            self.delete(path)
+            self.move(path + ".next", path)
+        temp = f"{path}.{uuid.uuid4().hex}"
+        where, fs = self._at(temp)
+        stream = fs.create(where, True)
         stream.write(text.encode())
         stream.close()
-        fs.delete(where, False)
-        fs.rename(temp, where)
+        self.move(temp, path + ".next")
+        self.delete(path)
+        self.move(path + ".next", path)
 
 
 @dataclass(frozen=True)
@@ -99,8 +118,9 @@ class Store:
     # manifest
 
     def load(self) -> Manifest:
-        if not self.files.exists(f"{self.path}/{MANIFEST}"):
+        if not self.files.has_text(f"{self.path}/{MANIFEST}"):
             raise NotFound(f"no database at {self.path}")
+        self.recover()
         return Manifest.of(self.files.read(f"{self.path}/{MANIFEST}"))
 
     def save(self, manifest: Manifest) -> None:
@@ -108,7 +128,7 @@ class Store:
 
     def create_or_open(self, shape: Shape) -> Manifest:
         """A stored shape must agree with the given one."""
-        if self.files.exists(f"{self.path}/{MANIFEST}"):
+        if self.files.has_text(f"{self.path}/{MANIFEST}"):
             manifest = self.load()
             if manifest.shape != shape:
                 raise BadRequest(f"the database has the shape {manifest.shape}")
@@ -146,30 +166,43 @@ class Store:
         n = self.chunk_axes(manifest.shape)
         chunks = [f"c{i}" for i in range(n)]
         stored = cells.select(*manifest.shape.coords, *[F.col(f"`{k}`").alias(f"k{manifest.registry.live[k][1]}") for k in manifest.registry.keys()], *[manifest.shape.chunk_of(i).alias(f"c{i}") for i in range(n)])
-        where, staged = f"{self.path}/cells", f"{self.path}/staged"
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
         by_chunk = stored.repartition(*chunks).sortWithinPartitions(*chunks, *manifest.shape.coords)
         by_chunk.write.mode("overwrite").partitionBy(*chunks).parquet(staged)
-        self.save(manifest)
-        if touched is None:
-            self.files.delete(where)
-            if any(x.startswith("c0=") for x in self.files.names(staged)):
-                _, fs = self.files._at(where)
-                fs.rename(self.files._at(staged)[0], self.files._at(where)[0])
+        parts = None
+        if touched is not None:
+            named = [tuple(r) for r in touched.select(*chunks).distinct().collect()]
+            parts = ["/".join(f"{c}={v}" for c, v in zip(chunks, values)) for values in sorted(named)]
+        filled = any(x.startswith("c0=") for x in self.files.names(staged)) if parts is None else [p for p in parts if self.files.exists(f"{staged}/{p}")]
+        plan = {"staged": staged[len(self.path) + 1 :], "parts": parts, "filled": filled, "manifest": manifest.to_json()}
+        self.files.write(f"{self.path}/{JOURNAL}", json.dumps(plan))
+        self.recover()
+
+    def recover(self) -> None:
+        """Carry out the journal of a write, as far as that was not done; each step may be done again."""
+        journal = f"{self.path}/{JOURNAL}"
+        if not self.files.has_text(journal):
+            return
+        plan = json.loads(self.files.read(journal))
+        where, staged = f"{self.path}/cells", f"{self.path}/{plan['staged']}"
+        if plan["parts"] is None:
+            if not plan["filled"]:
+                self.files.delete(where)
+            elif self.files.exists(staged):  # else it has been moved already
+                self.files.delete(where)
+                self.files.move(staged, where)
         else:
-            gone = [tuple(r) for r in touched.select(*chunks).distinct().collect()]
-            self._swap(staged, where, gone, chunks)
+            filled = set(plan["filled"])
+            for part in plan["parts"]:
+                if part not in filled:
+                    self.files.delete(f"{where}/{part}")
+                elif self.files.exists(f"{staged}/{part}"):
+                    self.files.delete(f"{where}/{part}")
+                    self.files.move(f"{staged}/{part}", f"{where}/{part}")
+        self.files.write(f"{self.path}/{MANIFEST}", plan["manifest"])
         self.files.delete(staged)
-
-    def _swap(self, staged: str, where: str, touched: list[tuple], chunks: list[str]) -> None:
-        """Directory by directory: delete the old chunk, move the new one in if it has cells."""
-        _, fs = self.files._at(where)
-        for values in touched:
-            part = "/".join(f"{c}={v}" for c, v in zip(chunks, values))
-            self.files.delete(f"{where}/{part}")
-            if self.files.exists(f"{staged}/{part}"):
-                parent = "/".join([where, *part.split("/")[:-1]])
-                fs.mkdirs(self.files._at(parent)[0])
-                fs.rename(self.files._at(f"{staged}/{part}")[0], self.files._at(f"{where}/{part}")[0])
+        self.files.delete(f"{journal}.next")
+        self.files.delete(journal)
 
     # equality indexes: side tables sorted by value; they never change an answer
 
@@ -194,11 +227,11 @@ class Root:
         return f"{self.path}/{name}"
 
     def names(self) -> list[str]:
-        return [n for n in self.files.names(self.path) if NAME.fullmatch(n) and self.files.exists(f"{self.path}/{n}/{MANIFEST}")]
+        return [n for n in self.files.names(self.path) if NAME.fullmatch(n) and self.files.has_text(f"{self.path}/{n}/{MANIFEST}")]
 
     def create(self, name: str, shape: Shape) -> Store:
         store = Store(self.spark, self._checked(name))
-        if self.files.exists(f"{store.path}/{MANIFEST}"):
+        if self.files.has_text(f"{store.path}/{MANIFEST}"):
             raise Conflict(f"database {name!r} exists")
         store.create_or_open(shape)
         return store
@@ -210,4 +243,4 @@ class Root:
 
     def remove(self, name: str) -> bool:
         path = self._checked(name)
-        return self.files.exists(f"{path}/{MANIFEST}") and self.files.delete(path)
+        return self.files.has_text(f"{path}/{MANIFEST}") and self.files.delete(path)

@@ -47,7 +47,7 @@ class Replica:
 
     def _pointer(self) -> dict:
         where = f"{self.path}/pointer.json"
-        return json.loads(self.files.read(where)) if self.files.exists(where) else {"generation": 0, "batch": -1}
+        return json.loads(self.files.read(where)) if self.files.has_text(where) else {"generation": 0, "batch": -1}
 
     def state(self) -> DataFrame:
         n = self._pointer()["generation"]
@@ -105,7 +105,7 @@ class ReplicaSet:
         self.files = Files(spark)
 
     def names(self) -> list[str]:
-        return [n for n in self.files.names(self.root) if self.files.exists(f"{self.root}/{n}/pointer.json")]
+        return [n for n in self.files.names(self.root) if self.files.has_text(f"{self.root}/{n}/pointer.json")]
 
     def replica(self, name: str) -> Replica:
         return Replica(self.spark, f"{self.root}/{name}", self.shape, self.registry, self.retention_ms)

@@ -16,7 +16,7 @@ LEASE = 1000
 class Sequencer:
     def __init__(self, spark: SparkSession, path: str, origin: int, lease: int = LEASE):
         self.files, self.path, self.origin, self.lease = Files(spark), path, origin, lease
-        self.last = self.leased = json.loads(self.files.read(path))["leased"] if self.files.exists(path) else 0
+        self.last = self.leased = json.loads(self.files.read(path))["leased"] if self.files.has_text(path) else 0
         self.open: list[int] = []
 
     def assign(self, n: int) -> range:

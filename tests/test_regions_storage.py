@@ -2,10 +2,12 @@
 
 import pytest
 
+from cellgrid import catalog as catalog_module
 from cellgrid.catalog import Catalog
 from cellgrid.errors import BadRequest, Conflict, Forbidden, NotFound
 from cellgrid.operators import region
 from cellgrid.shape import Box, Region, Shape, parse_coords
+from cellgrid.sources import storage
 
 
 @pytest.fixture()
@@ -164,3 +166,40 @@ def test_writes_rewrite_only_the_chunks_they_touch(catalog, tmp_path):
     assert db.get("9", "n") == 3
     with pytest.raises(BadRequest):
         db.get("999", "never")
+
+
+@pytest.mark.parametrize("named", [256, 0])
+def test_a_write_that_dies_is_whole_or_not_there(spark, tmp_path, monkeypatch, named):
+    """The driver dies at one file operation of a write after the other (chunk by chunk, or the whole table); the next one to open sees the
+    state before or after it."""
+    monkeypatch.setattr(catalog_module, "MAX_NAMED_CHUNKS", named)
+    late = 0
+    for fatal in range(0, 60, 3):
+        at = f"file://{tmp_path}/{fatal}"
+        db = Catalog(spark, at, clock=lambda: 1.0).create("db", axes=2, world_dim=100, chunk_dim=8)
+        db.query("SET (a = 1) IN (6, 0) TO (10, 1)")
+        count = [0]
+
+        def dying(f):
+            def step(self, *args):
+                count[0] += 1
+                if count[0] > fatal:
+                    raise KeyboardInterrupt
+                return f(self, *args)
+
+            return step
+
+        with monkeypatch.context() as m:
+            for name in ("delete", "move"):
+                m.setattr(storage.Files, name, dying(getattr(storage.Files, name)))
+            try:
+                db.query("UPDATE (a = 2) WHERE a < 9")
+                done = True
+            except KeyboardInterrupt:
+                done = False
+        left = [r.a.v for r in Catalog(spark, at).open("db").list_cells().collect()]
+        assert left == [2] * 4 if done else left in ([1] * 4, [2] * 4)
+        late += left == [2] * 4 and not done
+        if done:
+            break
+    assert done and late, "some deaths come after the journal is written"
