@@ -319,10 +319,10 @@ def _stats(spark, sf):
     return digest.chunk_stats(worlds.lineitem(spark, sf))
 
 
-simple("index_lookup", worlds.orders, "SELECT status WHERE custkey = 42.0", f"SELECT CAST(o_orderkey AS INT) AS x0, {keyed('status', 'o_orderstatus', ODATE)} FROM orders WHERE o_custkey = 42")
+simple("where_equal", worlds.orders, "SELECT status WHERE custkey = 42.0", f"SELECT CAST(o_orderkey AS INT) AS x0, {keyed('status', 'o_orderstatus', ODATE)} FROM orders WHERE o_custkey = 42")
 
 
-@add("index_intersect", "SELECT CAST(o_orderkey AS INT) AS x0 FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
+@add("where_equal_intersect", "SELECT CAST(o_orderkey AS INT) AS x0 FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def _intersect(spark, sf):
     grid = worlds.orders(spark, sf)
     one, two = (run(grid, f"SELECT nothing WHERE {w}").select("x0") for w in ("status = 'F'", "priority = '1-URGENT'"))
