@@ -93,7 +93,7 @@ def test_repeated_rows_and_null_ids(spark, folder):
     assert sorted((str(r.doc_id), str(r.text)[:2]) for r in got) == [("1", "a0"), ("1", "b0"), ("4", "No"), ("4", "No"), ("5", ""), ("None", "c0")]
 
 
-def test_empty_documents(spark, folder):
+def test_empty_documents(spark, folder, rows):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(folder))
