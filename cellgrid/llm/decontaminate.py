@@ -1,15 +1,19 @@
 r"""Benchmark decontamination by winnowing.
 
 Texts are words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z. Of every text the hashes of its
-k-grams (k = 5 words) are taken, and in each window of w = 6 consecutive hashes the least one is kept as a
-fingerprint. Two texts that share a span of k + w - 1 = 10 words share a whole window and so a
-fingerprint: every sufficiently long shared span is guaranteed to meet. Fingerprints of documents and of the
-benchmark are joined, and each meeting is extended over the words themselves: only windows of 10 equal words count.
-An item with fewer than 10 words is one window of its own length, whose hash is kept whole.
+k-grams (k = 5 words) are taken, and in each window of w = 6 consecutive hashes the least one (the last of equal
+ones) is picked as a fingerprint, once for a run of windows that pick the same. Two texts that share a span of
+k + w - 1 = 10 words share a whole window and so the fingerprint it picks: every sufficiently long shared span is
+guaranteed to meet. Fingerprints of documents and of the benchmark are joined, and each meeting is extended to the left
+and to the right over the words themselves, as far as windows of 10 equal words hold it. An item with fewer than 10
+words is one window of its own length, whose hash is kept whole.
 
 The benchmark side of the join is broadcast while its texts hold at most ``BROADCAST_BYTES``; documents then
-stream past it and nothing is shuffled. A larger benchmark is joined by shuffling fingerprints, which gives
-pairs of document and item, and only these pairs meet their texts.
+stream past it and nothing is shuffled. A larger benchmark is joined by shuffles: fingerprints by their hash, then the
+windows around those that meet by 128-bit hashes of their words. No text is paired with another. What the benchmark
+brings to a join has one row a key and is repeated ``SALTS`` times, so a phrase that very many documents hold is spread;
+the items of a window are met by way of the set they form, once a document and set, so a long span of a document that many items hold
+doesn't give all pairs of its windows and these items.
 
 Defined results: null or wordless documents have no words and no hits; null or wordless items match nothing; items
 that repeat an id count once; a null item id is not listed in ``items`` but its words count as hit; rows are
@@ -32,6 +36,8 @@ from .common import materialise, share, shared
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
 BROADCAST_BYTES = 16 << 20
+#: Copies of the benchmark's side of a shuffled join; a hot key of the documents is dealt over so many tasks.
+SALTS = 16
 MEMO = 1 << 19
 _TO = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>"
@@ -67,16 +73,35 @@ def grams(codes: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def winnow(codes: np.ndarray) -> np.ndarray:
-    """The least gram hash of each window; with repetition. A text of fewer than SPAN words has one window at most."""
-    h = grams(codes, GRAM)
+def picked(h: np.ndarray) -> np.ndarray:
+    """Positions of the grams that windows pick: the least hash, the last of equal ones; ascending, each position once."""
     n = len(h) - WINDOW + 1
     if n <= 0:
-        return h[:0]
-    least = np.minimum(h[:n], h[1 : n + 1])
-    for i in range(2, WINDOW):
+        return np.empty(0, np.int64)
+    least, at = h[:n].copy(), np.zeros(n, np.int64)
+    for i in range(1, WINDOW):
+        at[h[i : i + n] <= least] = i
         np.minimum(least, h[i : i + n], out=least)
-    return least
+    at += np.arange(n)
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
+
+
+def fingerprints(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the fingerprints for windows of k words: picked grams, or for short items all grams of their length."""
+    if k < SPAN:
+        h = grams(codes, k)
+        return np.arange(len(h)), h
+    h = grams(codes, GRAM)
+    at = picked(h)
+    return at, h[at]
+
+
+def extended(at: np.ndarray, k: int, n: int) -> list[int]:
+    """Starts of the windows of k words, in a text of n, that hold a fingerprint at one of the positions."""
+    if k < SPAN:
+        return at.tolist()
+    starts = np.unique(at[:, None] - np.arange(WINDOW))
+    return starts[(starts >= 0) & (starts <= n - SPAN)].tolist()
 
 
 class Index:
@@ -94,27 +119,23 @@ class Index:
             c = np.array([codes[x] for x in w], np.uint64)
             for i in range(len(w) - k + 1):
                 self.windows[k][tuple(w[i : i + k])].add(item)
-            prints.setdefault(k, set()).update((winnow(c) if k == SPAN else grams(c, k)).tolist())
+            prints.setdefault(k, set()).update(fingerprints(c, k)[1].tolist())
         self.windows = {k: dict(v) for k, v in self.windows.items()}
         self.prints = {k: np.array(sorted(v), np.uint64) for k, v in prints.items() if v}
 
-    def found(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """(window length, first possible start) from the fingerprints that a text shares with the items."""
-        out = []
+    def found(self, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window length, start) of the windows around fingerprints that a text shares with the items."""
         for k, prints in self.prints.items():
-            h = winnow(codes) if k == SPAN else grams(codes, k)
+            at, h = fingerprints(codes, k)
             if len(h):
-                at = np.searchsorted(prints, h)
-                at[at == len(prints)] = 0
-                out += [(k, i) for i in np.flatnonzero(prints[at] == h).tolist()]
-        return out
+                near = np.searchsorted(prints, h)
+                near[near == len(prints)] = 0
+                met = at[prints[near] == h]
+                if len(met):
+                    yield from ((k, i) for i in extended(met, k, len(codes)))
 
     def hits(self, words: list[bytes], codes: np.ndarray) -> tuple[int, set]:
-        """Words inside windows that occur, and the items of these windows.
-
-        A window of SPAN words is found exactly where its own winnowing window is, at the same start, so each
-        shared start is compared word by word.
-        """
+        """Words inside windows that occur, and the items of these windows; each window around a meeting is compared word by word."""
         covered, items = set(), set()
         for k, i in self.found(codes):
             got = self.windows[k].get(tuple(words[i : i + k]))
@@ -140,36 +161,41 @@ def _scan(index):
     return run
 
 
+_PRINTS = "row long, k int, pos int, print long"
+_WINDOWS = "row long, k int, pos int, a long, b long"
+
+
 def _prints(lengths: list[int]):
-    """Rows (row, k, print) of texts; lengths: those of the short items, whose whole grams are looked for as well."""
+    """Fingerprints of texts (row, text), for windows of each of the lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
                 c = np.array([codes[w] for w in words_of(text)], np.uint64)
-                made = [(SPAN, np.unique(winnow(c)))] + [(k, np.unique(grams(c, k))) for k in lengths]
-                for k, h in made:
+                for k in lengths:
+                    at, h = fingerprints(c, k)
                     if len(h):
-                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array([k] * len(h), pa.int32()), pa.array(h.view(np.int64))], names=["row", "k", "print"])
+                        yield pa.RecordBatch.from_arrays([pa.array([row] * len(h), pa.int64()), pa.array([k] * len(h), pa.int32()), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["row", "k", "pos", "print"])
 
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (row, text, item, item_text) -> (row, item, pos): every hit word position of each pair that really meets."""
-    codes = Codes()
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (row, text, hits) -> their windows with two halves of a hash. hits: (k, pos) of fingerprints whose windows are wanted; null: all
+    windows of SPAN words, or the whole of a shorter text."""
     for batch in batches:
-        rows, items, at = [], [], []
-        for r, text, item, other in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "item", "item_text"))):
-            idx, w = Index([(item, other)]), words_of(text)
-            c = np.array([codes[x] for x in w], np.uint64)
-            for k, i in idx.found(c):
-                if tuple(w[i : i + k]) in idx.windows[k]:
-                    rows += [r] * k
-                    items += [item] * k
-                    at += range(i, i + k)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(items, pa.string()), pa.array(at, pa.int64())], names=["row", "item", "pos"])
+        for row, text, hits in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "hits"))):
+            w = words_of(text)
+            if hits is None:
+                k = min(len(w), SPAN)
+                wanted = {k: range(len(w) - k + 1)} if w else {}
+            else:
+                wanted = {k: extended(np.array(sorted(h["pos"] for h in hits if h["k"] == k), np.int64), k, len(w)) for k in sorted({h["k"] for h in hits})}
+            for k, starts in wanted.items():
+                raw = b"".join(xxhash.xxh3_128_digest(b" ".join(w[i : i + k])) for i in starts)
+                ab = np.frombuffer(raw, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(ab), pa.int64()), pa.array([k] * len(ab), pa.int32()), pa.array(np.array(starts, np.int32)), pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["row", "k", "pos", "a", "b"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -189,29 +215,43 @@ def _count(c: str) -> Column:
     return F.size(F.expr(f"filter(split(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+'), x -> x <> '')"))
 
 
+def _salted(many: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join rows of documents with rows of the benchmark. A key that very many documents share is dealt over SALTS tasks."""
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*on, "salt"], how).drop("salt")
+
+
 def _by_shuffle(rows: DataFrame, items: DataFrame) -> DataFrame:
     numbered = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "docs")
-    met = _meetings(numbered.select("row", "text"), items)
-    covered = met.groupBy("row").agg(F.countDistinct("pos").alias("n_hit"))
-    named = met.where("item IS NOT NULL").select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    met, items_of = _meetings(numbered.select("row", "text"), items)
+    covered = met.select("row", F.explode(F.expr("sequence(pos, pos + k - 1)")).alias("at")).groupBy("row").agg(F.countDistinct("at").alias("n_hit"))
+    listed = _salted(met.select("row", "held_by").distinct(), items_of.where("item IS NOT NULL"), ["held_by"]).select("row", "item").distinct()
+    named = listed.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     out = numbered.select("row", "doc_id", _count("text").cast("long").alias("n_words")).join(covered, "row", "left").join(named, "row", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def _meetings(numbered: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows (row, item, pos) of a materialised table (row, text): its hit word positions."""
-    listed = materialise(items.withColumn("row", F.monotonically_increasing_id()).withColumn("words", _count("item_text")), "items")
-    lengths = sorted(r[0] for r in listed.where(f"words > 0 AND words < {SPAN}").select("words").distinct().collect())
-    kind = "row long, k int, print long"
-    long_items = listed.where(f"words >= {SPAN}").select("row", F.col("item_text").alias("text")).mapInArrow(_prints([]), kind)
-    short = [listed.where(F.col("words") == n).select("row", F.col("item_text").alias("text")).mapInArrow(_prints([n]), kind).where(F.col("k") == n) for n in lengths]
-    known = long_items
-    for s in short:
-        known = known.union(s)
-    own = numbered.select("row", "text").mapInArrow(_prints(lengths), kind)
-    pairs = own.join(known.select(F.col("row").alias("item_row"), "k", "print"), ["k", "print"]).select("row", "item_row").distinct()
-    texts = pairs.join(listed.select(F.col("row").alias("item_row"), "item", "item_text"), "item_row").join(numbered.select("row", "text"), "row")
-    return materialise(texts.select("row", "text", "item", "item_text").mapInArrow(_compare, "row long, item string, pos long").distinct(), "met")
+def _meetings(numbered: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a materialised table (row, text): its windows that occur in items (row, k, pos, held_by), and (held_by, item).
+
+    held_by stands for the set of items that hold a window: its size and two hashes that don't depend on order.
+    """
+    listed = materialise(items.withColumn("row", F.monotonically_increasing_id()).withColumn("words", _count("item_text")).where("words > 0"), "items")
+    lengths = sorted(r[0] for r in listed.select(F.least("words", F.lit(SPAN))).distinct().collect())
+    texts = listed.select("row", F.col("item_text").alias("text"), F.least("words", F.lit(SPAN)).alias("window"))
+    known = texts.mapInArrow(_prints(lengths), _PRINTS).join(texts.select("row", "window"), "row").where("k = window").select("k", "print").distinct()
+    own = numbered.select("row", "text").mapInArrow(_prints(lengths), _PRINTS)
+    hits = _salted(own, known, ["k", "print"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("k", "pos")).alias("hits"))
+    around = numbered.join(hits, "row").select("row", "text", "hits").mapInArrow(_windows, _WINDOWS)
+    no_hits = F.lit(None).cast("array<struct<k:int,pos:int>>").alias("hits")
+    held = texts.select("row", "text", no_hits).mapInArrow(_windows, _WINDOWS).join(listed.select("row", "item"), "row").select("k", "a", "b", "item").distinct()
+    held = materialise(held, "held")
+    one, two = F.xxhash64("item"), F.xxhash64("item", F.lit(1))
+    sets = materialise(held.groupBy("k", "a", "b").agg(F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two")).alias("held_by")), "sets")
+    first = sets.groupBy("held_by").agg(F.min(F.struct("k", "a", "b")).alias("w")).select("held_by", "w.*")
+    met = materialise(_salted(around, sets, ["k", "a", "b"]).select("row", "k", "pos", "held_by"), "met")
+    return met, first.join(held, ["k", "a", "b"]).select("held_by", "item")
 
 
 def item_digest(items: str) -> Column:
@@ -228,7 +268,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAS
         while number in map(str.lower, docs.columns):
             number = "_" + number
         numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "docs")
-        bad = _meetings(numbered.select(F.col(number).alias("row"), "text"), items).select(F.col("row").alias(number)).distinct()
+        bad = _meetings(numbered.select(F.col(number).alias("row"), "text"), items)[0].select(F.col("row").alias(number)).distinct()
         return numbered.join(bad, number, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     index = share(spark, Index([tuple(r) for r in items.collect()]))
 

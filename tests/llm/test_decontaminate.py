@@ -78,6 +78,27 @@ def test_every_shared_span_of_ten_words_is_found():
     assert GRAM < SPAN
 
 
+def test_every_window_picks_one_position_and_runs_are_kept_once():
+    import numpy as np
+
+    from cellgrid.llm.decontaminate import WINDOW, picked
+
+    rng = np.random.default_rng(4)
+    for n in [0, 1, WINDOW - 1, WINDOW, 50, 400]:
+        for values in (3, 1 << 40):
+            h = rng.integers(0, values, n).astype(np.uint64)
+            want = sorted({max(range(i, i + WINDOW), key=lambda j: (-int(h[j]), j)) for i in range(n - WINDOW + 1)})
+            assert picked(h).tolist() == want
+
+
+def test_phrase_of_many_documents_and_many_items_by_shuffle(spark):
+    phrase = " ".join(f"p{i}" for i in range(30))
+    items = [(i, f"{phrase} own words of item {i}") for i in range(60)] + [(100, "p0 p1 p2"), (101, "p1 p1")]
+    docs = [(i, f"d{i} {phrase if i % 4 else phrase[:40]} e{i}") for i in range(200)] + [(300, "a " * 3000 + phrase), (301, "p1 " * 40)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert result(contamination(d, b, broadcast_bytes=0)) == brute(docs, items)
+
+
 def test_long_text_and_clashing_columns(spark):
     words = [f"w{i}" for i in range(60_000)]
     docs = spark.createDataFrame([(1, " ".join(words), "x", 3), (2, "nothing here", "y", 4)], "doc_id long, text string, items string, n_hit int")
