@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from .errors import BadRequest, Forbidden, NotFound
 from .grid import Grid
 from .operators import digest, region, statements
-from .plans.ast import Delete, IndexStatement, Select, SetCells, Update, is_write
+from .plans.ast import And, Compare, Delete, IndexStatement, Or, Select, SetCells, Update, is_write
 from .plans.parser import parse
 from .registry import META, type_of
 from .shape import DEFAULT_AXES, DEFAULT_CHUNK_DIM, DEFAULT_WORLD_DIM, Box, Region, Shape, parse_coords
 from .sources.storage import Root, Store
 
 
-#: A write without a box rewrites the chunks that hold a match if there are at most so many, else the table.
-MAX_NAMED_CHUNKS = 256
+#: A write without a box rewrites the tiles that hold a match if there are at most so many, else the table; a statement is narrowed to the
+#: tiles that indexes name if there are at most so many.
+MAX_NAMED_TILES = 256
 
 
 class Catalog:
@@ -35,9 +36,10 @@ class Catalog:
     def databases(self) -> list[str]:
         return self.root.names()
 
-    def create(self, name: str, axes: int = DEFAULT_AXES, world_dim: int = DEFAULT_WORLD_DIM, chunk_dim: int = DEFAULT_CHUNK_DIM) -> Database:
+    def create(self, name: str, axes: int = DEFAULT_AXES, world_dim: int = DEFAULT_WORLD_DIM, chunk_dim: int = DEFAULT_CHUNK_DIM, tile_dim: int | None = None) -> Database:
+        """tile_dim: the edge of the tiles by which cells are stored, a multiple of chunk_dim; for hundreds of MB a tile."""
         self._writable()
-        return Database(self, name, self.root.create(name, Shape(axes, world_dim, chunk_dim)))
+        return Database(self, name, self.root.create(name, Shape(axes, world_dim, chunk_dim), tile_dim))
 
     def open(self, name: str) -> Database:
         return Database(self, name, self.root.open(name))
@@ -83,7 +85,7 @@ class Database:
             return {}
         grid = self.grid()
         if isinstance(statement, Select):
-            return statements.select(grid, statement)
+            return statements.select(self._narrowed(grid, statement.where), statement)
         statements.check_axes(grid, statement.box)
         part, touched = self._scope(grid, statement)
         now = self.now_ms()
@@ -100,13 +102,33 @@ class Database:
         return {"affected_cells": affected}
 
     def _scope(self, grid: Grid, statement) -> tuple[Grid, bool]:
-        """The part of the grid that a write can touch, and whether it is less than all: the chunks of its box, or else those
+        """The part of the grid that a write can touch, and whether it is less than all: the tiles of its box, or else those
         that hold a matching cell, if these are few enough to be named in a condition."""
         if statement.box is not None:
             return grid.around(statement.box), True
         n = self.store.chunk_axes(grid.shape)
-        hit = statements.matching(grid, None, statement.where).select(*grid.chunks(n)).distinct().limit(MAX_NAMED_CHUNKS + 1).collect()
-        return (grid.of_chunks([tuple(r) for r in hit]), True) if len(hit) <= MAX_NAMED_CHUNKS else (grid, False)
+        hit = statements.matching(self._narrowed(grid, statement.where), None, statement.where).select(*grid.chunks(n)).distinct().limit(MAX_NAMED_TILES + 1).collect()
+        return (grid.of_chunks([tuple(r) for r in hit]), True) if len(hit) <= MAX_NAMED_TILES else (grid, False)
+
+    def _narrowed(self, grid: Grid, where) -> Grid:
+        """The grid of the tiles that indexes leave for a condition, which is still to be applied; all of it where they don't help."""
+        manifest = self.store.load()
+        tiles = self._tiles(manifest, where) if manifest.indexes else None
+        return grid if tiles is None else grid.of_chunks(sorted(tiles))
+
+    def _tiles(self, manifest, where) -> set | None:
+        """Tiles outside which a condition holds nowhere, by the indexes; None: not known, or too many to be named."""
+        if isinstance(where, (And, Or)):
+            left, right = self._tiles(manifest, where.left), self._tiles(manifest, where.right)
+            if left is None or right is None:
+                return (right if left is None else left) if isinstance(where, And) else None
+            both = left & right if isinstance(where, And) else left | right
+            return both if len(both) <= MAX_NAMED_TILES else None
+        if not isinstance(where, Compare) or where.op != "=" or where.operand[0] != "key" or where.operand[1] not in manifest.indexes:
+            return None
+        numbers = [f"c{i}" for i in range(self.store.chunk_axes(manifest.shape))]
+        found = self._found(manifest, where.operand[1], where.value).select(*numbers).distinct().limit(MAX_NAMED_TILES + 1).collect()
+        return {tuple(r) for r in found} if len(found) <= MAX_NAMED_TILES else None
 
     def select(self, text: str) -> DataFrame:
         """SELECT only."""
@@ -115,11 +137,11 @@ class Database:
         return self.query(text)
 
     def _keep(self, before: Grid, after: Grid, part: bool = True) -> None:
-        """Store what a write led to: the chunks of the grid it was applied to (part), or all. Indexes are stale from now on."""
+        """Store what a write led to: the tiles of the grid it was applied to (part), or all; indexes follow."""
         manifest = self.store.load()
-        manifest = replace(manifest, registry=after.registry, stale=manifest.indexes)
+        manifest = replace(manifest, registry=after.registry)
         n = self.store.chunk_axes(manifest.shape)
-        touched = before.cells.select(*before.chunks(n)).union(after.cells.select(*after.chunks(n))).distinct() if part else None
+        touched = before.cells.select(*before.chunks(n)) if part else None
         self.store.replace(after.cells, manifest, touched)
 
     # cells
@@ -222,34 +244,36 @@ class Database:
         self.catalog._writable()
         manifest = self.store.load()
         if key in manifest.registry.live:
+            # Not listed while it is built, so that nobody reads half of it.
+            manifest = replace(manifest, indexes=tuple(k for k in manifest.indexes if k != key))
+            self.store.save(manifest)
             self.store.build_index(key, manifest)
-            self.store.save(replace(manifest, indexes=tuple({*manifest.indexes, key}), stale=tuple(k for k in manifest.stale if k != key)))
+            self.store.save(replace(manifest, indexes=(*manifest.indexes, key)))
 
     def drop_index(self, key: str) -> bool:
         self.catalog._writable()
         manifest = self.store.load()
         if key not in manifest.indexes:
             return False
+        self.store.save(replace(manifest, indexes=tuple(k for k in manifest.indexes if k != key)))
         self.store.files.delete(self.store.index_path(manifest.registry.live[key][1]))
-        without = lambda keys: tuple(k for k in keys if k != key)
-        self.store.save(replace(manifest, indexes=without(manifest.indexes), stale=without(manifest.stale)))
         return True
 
     def lookup_eq(self, key: str, value) -> DataFrame | None:
-        """Coordinates at which key has the value, from the index; None where there is no index. A stale index is built anew first."""
+        """Coordinates at which key has the value, from the index; None where there is no index."""
         manifest = self.store.load()
         if key not in manifest.indexes:
             return None
-        if key in manifest.stale:
-            self.store.build_index(key, manifest)
-            self.store.save(replace(manifest, stale=tuple(k for k in manifest.stale if k != key)))
-        kind = manifest.registry.kind(key)
-        table = self.catalog.spark.read.parquet(self.store.index_path(manifest.registry.live[key][1]))
+        return self._found(manifest, key, value).select(*manifest.shape.coords)
+
+    def _found(self, manifest, key: str, value) -> DataFrame:
+        """The rows of an index that have a value; numbers of both types count as doubles."""
+        kind, table = manifest.registry.kind(key), self.store.index(key, manifest)
         given = type_of(value)
         if given != kind and not {given, kind} <= {"i64", "f64"}:
-            return table.where("false").drop("value")
+            return table.where("false")
         column = F.col("value") if given == kind == "i64" and abs(value) < 2**53 or kind in ("str", "bool") else F.col("value").cast("double")
-        return table.where(column == (float(value) if {given, kind} <= {"i64", "f64"} and not (given == kind == "i64" and abs(value) < 2**53) else value)).drop("value")
+        return table.where(column == (float(value) if {given, kind} <= {"i64", "f64"} and not (given == kind == "i64" and abs(value) < 2**53) else value))
 
     # the rest
 
@@ -260,6 +284,11 @@ class Database:
     def content_digest(self) -> int:
         return digest.content_digest(self.grid()).first().digest
 
+    def sync_report(self, other: Database) -> dict:
+        """The chunks in which two databases differ, and the indexes that only one of them has."""
+        mine, theirs = set(self.indexes()), set(other.indexes())
+        return {"differing_chunks": self.sync_status(other), "indexes_only_here": sorted(mine - theirs), "indexes_only_there": sorted(theirs - mine)}
+
     def sync_status(self, other: Database) -> DataFrame:
         """Chunks in which two databases differ."""
         if self.shape != other.shape:

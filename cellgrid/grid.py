@@ -17,24 +17,29 @@ from .shape import Shape
 @dataclass(frozen=True)
 class Grid:
     """cells: one row a cell with x0.. and, for each key, struct<v, created, updated, version> or null. Partition columns
-    c0.. may stand beside them (chunk_axes of them), so that boxes prune directories."""
+    c0.. may stand beside them (chunk_axes of them, numbers of tiles of an edge of ``tile``), so that boxes prune directories."""
 
     shape: Shape
     registry: Registry
     cells: DataFrame
     chunk_axes: int = 0
+    tile: int | None = None
 
     @property
     def keys(self) -> list[str]:
         return self.registry.keys()
 
+    @property
+    def edge(self) -> int:
+        return self.tile or self.shape.chunk_dim
+
     @property
     def spark(self):
         return self.cells.sparkSession
 
     def with_cells(self, cells: DataFrame, registry: Registry | None = None) -> Grid:
         registry = registry or self.registry
-        return Grid(self.shape, registry, cells.select(*self.shape.coords, *[F.col(f"`{k}`") for k in registry.keys()]))
+        return Grid(self.shape, registry, cells.select(*self.shape.coords, *[F.col(f"`{k}`") for k in registry.keys()]), tile=self.tile)
 
     def within(self, box) -> DataFrame:
         """The cells of a box; all where box is None."""
@@ -42,28 +47,28 @@ class Grid:
             return self.cells
         if len(box.lo) != self.shape.axes:
             raise BadRequest(f"a box of {len(box.lo)} axes in a grid of {self.shape.axes}")
-        return self.cells.where(box.holds(self.shape.chunk_dim, self.chunk_axes))
+        return self.cells.where(box.holds(self.edge, self.chunk_axes))
 
     def chunks(self, n: int) -> list[Column]:
-        """c0.. of the first n axes: the partition columns where the cells have them."""
-        return [F.col(f"c{i}") if i < self.chunk_axes else self.shape.chunk_of(i).alias(f"c{i}") for i in range(n)]
+        """Tile numbers c0.. of the first n axes: the partition columns where the cells have them."""
+        return [F.col(f"c{i}") if i < self.chunk_axes else self.shape.chunk_of(i, self.edge).alias(f"c{i}") for i in range(n)]
 
     def around(self, box) -> Grid:
-        """The grid of the chunks that a box meets, along the partitioned axes: what a write to the box can touch."""
-        met, dim = F.lit(True), self.shape.chunk_dim
+        """The grid of the tiles that a box meets, along the partitioned axes: what a write to the box can touch."""
+        met, dim = F.lit(True), self.edge
         for i in range(min(self.chunk_axes, len(box.lo))):
             met = met & F.col(f"c{i}").between(box.lo[i] // dim, (box.hi[i] - 1) // dim)
-        return Grid(self.shape, self.registry, self.cells.where(met), self.chunk_axes)
+        return Grid(self.shape, self.registry, self.cells.where(met), self.chunk_axes, self.tile)
 
     def of_chunks(self, chunks: list[tuple]) -> Grid:
-        """The grid of some chunks, given by their partition numbers; the condition prunes directories."""
+        """The grid of some tiles, given by their partition numbers; the condition prunes directories."""
         met = F.lit(False)
         for values in chunks:
             one = F.lit(True)
             for i, v in enumerate(values):
                 one = one & (F.col(f"c{i}") == v)
             met = met | one
-        return Grid(self.shape, self.registry, self.cells.where(met), self.chunk_axes)
+        return Grid(self.shape, self.registry, self.cells.where(met), self.chunk_axes, self.tile)
 
     def entries(self) -> DataFrame:
         """The long form: x0.., key, v_str, v_f64, v_i64, v_bool, created, updated, version; one row a (cell, key)."""

@@ -61,7 +61,7 @@ def write_region(grid: Grid, region: Region, key: str, values: list, now_ms: int
 def write_values(grid: Grid, box, given: DataFrame, key: str, registry, now_ms: int) -> Grid:
     """Set key from given (x0.., _new) inside box; cells outside are not joined."""
     at = with_columns(grid, registry)
-    inside = at.where(box.holds(grid.shape.chunk_dim, grid.chunk_axes)).drop(*_chunks(grid))
+    inside = at.where(box.holds(grid.edge, grid.chunk_axes)).drop(*_chunks(grid))
     outside = at.where(~box.holds()).drop(*_chunks(grid))
     old = F.col(f"`{key}`")
     new = cell(F.col("_new"), F.coalesce(old["created"], F.lit(now_ms)), F.lit(now_ms), F.coalesce(old["version"] + 1, F.lit(0)))

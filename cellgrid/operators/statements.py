@@ -70,7 +70,7 @@ def set_cells(grid: Grid, statement: SetCells, now_ms: int) -> Change:
     registry = _interned(grid, statement.assignments)
     at = with_columns(grid, registry)
     chunks = [f"c{i}" for i in range(grid.chunk_axes)]
-    inside = at.where(statement.box.holds(grid.shape.chunk_dim, grid.chunk_axes)).drop(*chunks)
+    inside = at.where(statement.box.holds(grid.edge, grid.chunk_axes)).drop(*chunks)
     outside = at.where(~statement.box.holds()).drop(*chunks)
     joined = coordinates(spark, region).drop("pos").join(inside, grid.shape.coords, "left")
     if statement.where is None:

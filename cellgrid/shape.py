@@ -54,9 +54,9 @@ class Shape:
             ok = ok & F.col(c).between(self.low, self.high - 1)
         return ok
 
-    def chunk_of(self, axis: int) -> Column:
-        """Number of the chunk along an axis; floor division, so that it holds below zero as well."""
-        return F.floor(F.col(f"x{axis}") / F.lit(self.chunk_dim)).cast("int")
+    def chunk_of(self, axis: int, edge: int | None = None) -> Column:
+        """Number of the chunk (or of the tile of another edge) along an axis; floor division, so that it holds below zero as well."""
+        return F.floor(F.col(f"x{axis}") / F.lit(edge or self.chunk_dim)).cast("int")
 
 
 @dataclass(frozen=True)
@@ -74,13 +74,13 @@ class Box:
     def region(self) -> Region:
         return Region(self.lo, tuple(b - a for a, b in zip(self.lo, self.hi)))
 
-    def holds(self, chunk_dim: int | None = None, chunk_axes: int = 0) -> Column:
-        """Row predicate; with chunk_dim also on the partition columns c0.. of the first axes, which prunes directories."""
+    def holds(self, edge: int | None = None, chunk_axes: int = 0) -> Column:
+        """Row predicate; with the edge of a tile also on the partition columns c0.. of the first axes, which prunes directories."""
         ok = F.lit(True)
         for i, (a, b) in enumerate(zip(self.lo, self.hi)):
             ok = ok & (F.col(f"x{i}") >= a) & (F.col(f"x{i}") < b)
-            if chunk_dim and i < chunk_axes:
-                ok = ok & (F.col(f"c{i}") >= a // chunk_dim) & (F.col(f"c{i}") <= (b - 1) // chunk_dim)
+            if edge and i < chunk_axes:
+                ok = ok & (F.col(f"c{i}") >= a // edge) & (F.col(f"c{i}") <= (b - 1) // edge)
         return ok
 
 

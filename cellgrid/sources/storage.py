@@ -1,12 +1,15 @@
-"""Databases on a file system: a manifest, the wide table partitioned by chunk, and index tables.
-
-The directory of a database holds ``manifest.json`` (shape, columns, indexes) and ``cells`` as Parquet, partitioned
-by the chunk numbers c0.. of the first axes. Stored columns are named by their number, so a key that was dropped and added
-again with another type is another column. A write replaces the partitions that it touches and no others, directory
-by directory from a staged copy; partitions that lost their last cell are deleted. Before the first directory is moved a journal
-names the staged copy, the directories and the manifest that will hold; whoever opens the database next carries out what a
-journal has left undone, so a driver that dies leaves the state before the write or the one after it. There is one writer at a time.
-All paths go through Hadoop's file systems, so the root may be on any store that Spark reads.
+"""Databases on a file system: a manifest, the wide table partitioned by tile, and index tables.
+
+The directory of a database holds ``manifest.json`` (shape, tile, columns, indexes) and ``cells`` as Parquet, partitioned
+by the tile numbers c0.. of the first axes. A tile is a whole number of chunks along these axes; by default as many as leave MAX_TILES
+tiles at most, whatever the extent of the world. Inside a tile rows stand chunk by chunk, so that row groups are pruned by their
+coordinates. Stored columns are named by their number, so a key that was dropped and added again with another type is another column.
+A write replaces the tiles that it touches and no others, directory by directory from a staged copy; tiles that lost their last cell are
+deleted. A tile of very many rows is dealt over several tasks and files. Index tables are partitioned alike, and the tiles that a
+write touches are replaced in them by the same write. Before the first directory is moved a journal names the staged copy, the
+directories and the manifest that will hold; whoever opens the database next carries out what a journal has left undone, so a driver that
+dies leaves the state before the write or the one after it. There is one writer at a time. All paths go through Hadoop's file systems,
+so the root may be on any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -21,13 +24,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BadRequest, Conflict, NotFound
-from ..grid import Grid, any_key
+from ..grid import SQL_TYPES, Grid, any_key
 from ..registry import Registry, cell_type
 from ..shape import Shape
 
 NAME = re.compile(r"[A-Za-z0-9_-]+")
 MANIFEST, JOURNAL = "manifest.json", "journal.json"
 CHUNK_AXES = 2
+MAX_TILES = 4096
+
+
+def default_tile(shape: Shape) -> int:
+    """The least edge, in whole chunks, at which the partitioned axes have MAX_TILES tiles at most."""
+    most = round(MAX_TILES ** (1 / min(shape.axes, CHUNK_AXES)))
+    chunks = -(-shape.world_dim // shape.chunk_dim)
+    return shape.chunk_dim * -(-chunks // most)
 
 
 class Files:
@@ -96,17 +107,17 @@ class Manifest:
     shape: Shape
     registry: Registry
     indexes: tuple = ()
-    stale: tuple = ()
+    tile: int | None = None  # None: a chunk
 
     def to_json(self) -> str:
         s, r = self.shape, self.registry
         columns = {k: list(v) for k, v in sorted(r.live.items())}
-        return json.dumps({"axes": s.axes, "world_dim": s.world_dim, "chunk_dim": s.chunk_dim, "columns": columns, "next": r.next_number, "indexes": sorted(self.indexes), "stale": sorted(self.stale)}, indent=1)
+        return json.dumps({"axes": s.axes, "world_dim": s.world_dim, "chunk_dim": s.chunk_dim, "tile": self.tile, "columns": columns, "next": r.next_number, "indexes": sorted(self.indexes)}, indent=1)
 
     @classmethod
     def of(cls, text: str) -> Manifest:
         d = json.loads(text)
-        return cls(Shape(d["axes"], d["world_dim"], d["chunk_dim"]), Registry({k: tuple(v) for k, v in d["columns"].items()}, d["next"]), tuple(d["indexes"]), tuple(d.get("stale", ())))
+        return cls(Shape(d["axes"], d["world_dim"], d["chunk_dim"]), Registry({k: tuple(v) for k, v in d["columns"].items()}, d["next"]), tuple(d["indexes"]), d.get("tile"))
 
 
 class Store:
@@ -126,14 +137,16 @@ class Store:
     def save(self, manifest: Manifest) -> None:
         self.files.write(f"{self.path}/{MANIFEST}", manifest.to_json())
 
-    def create_or_open(self, shape: Shape) -> Manifest:
-        """A stored shape must agree with the given one."""
+    def create_or_open(self, shape: Shape, tile: int | None = None) -> Manifest:
+        """A stored shape must agree with the given one. tile: the edge of a tile, a multiple of a chunk's; None: the default."""
         if self.files.has_text(f"{self.path}/{MANIFEST}"):
             manifest = self.load()
             if manifest.shape != shape:
                 raise BadRequest(f"the database has the shape {manifest.shape}")
             return manifest
-        self.save(Manifest(shape, Registry()))
+        if tile is not None and (tile < 1 or tile % shape.chunk_dim):
+            raise BadRequest("the edge of a tile must be a multiple of a chunk's")
+        self.save(Manifest(shape, Registry(), tile=tile or default_tile(shape)))
         return self.load()
 
     # cells
@@ -156,63 +169,86 @@ class Store:
             table = self.spark.createDataFrame([], schema)
         named = [F.col(f"k{m.registry.live[k][1]}").alias(k) for k in m.registry.keys()]
         cells = table.select(*m.shape.coords, *[f"c{i}" for i in range(n)], *named)
-        return Grid(m.shape, m.registry, cells.where(any_key(m.registry.keys())), n)
+        return Grid(m.shape, m.registry, cells.where(any_key(m.registry.keys())), n, m.tile)
+
+    def _parts(self, path: str, n: int) -> set[str]:
+        """The tile directories of a table, below its path."""
+        out = {x for x in self.files.names(path) if x.startswith("c0=")}
+        for _ in range(n - 1):
+            out = {f"{x}/{y}" for x in out for y in self.files.names(f"{path}/{x}") if y.startswith("c")}
+        return out
 
     def replace(self, cells: DataFrame, manifest: Manifest, touched: DataFrame | None = None) -> None:
-        """Write cells. touched: (c0..) of the chunk directories that cells replaces as a whole; None: all of the table.
+        """Write cells. touched: (c0..) of the tiles that cells replaces as a whole, beside those it has rows in; None: all of the table.
 
-        The new rows are staged beside the table first, since they are usually computed from it.
+        The new rows are staged beside the table first, since they are usually computed from it, and evaluated once: which tiles they fill
+        is read from the staged directories.
         """
-        n = self.chunk_axes(manifest.shape)
-        chunks = [f"c{i}" for i in range(n)]
-        stored = cells.select(*manifest.shape.coords, *[F.col(f"`{k}`").alias(f"k{manifest.registry.live[k][1]}") for k in manifest.registry.keys()], *[manifest.shape.chunk_of(i).alias(f"c{i}") for i in range(n)])
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        by_chunk = stored.repartition(*chunks).sortWithinPartitions(*chunks, *manifest.shape.coords)
-        by_chunk.write.mode("overwrite").partitionBy(*chunks).parquet(staged)
+        m, n = manifest, self.chunk_axes(manifest.shape)
+        tiles, staged = [f"c{i}" for i in range(n)], f"staged-{uuid.uuid4().hex}"
+        numbers = [m.shape.chunk_of(i, m.tile).alias(f"c{i}") for i in range(n)]
+        stored = cells.select(*m.shape.coords, *[F.col(f"`{k}`").alias(f"k{m.registry.live[k][1]}") for k in m.registry.keys()], *numbers)
+        order = [*tiles, *[m.shape.chunk_of(i) for i in range(m.shape.axes)], *m.shape.coords]
+        self._stage(stored.hint("rebalance", *tiles).sortWithinPartitions(*order), f"{staged}/cells", tiles)
+        tables = ["cells"]
+        for key in m.indexes:
+            number = m.registry.live[key][1]
+            if self._parts(f"{self.path}/{staged}/cells", 1):
+                fresh = self.spark.read.schema(self._schema(m)).parquet(f"{self.path}/{staged}/cells")
+                self._stage(self._index_rows(fresh, f"k{number}", m), f"{staged}/index-{number}", tiles)
+            tables.append(f"index-{number}")
+        filled = {t: sorted(self._parts(f"{self.path}/{staged}/{t}", n)) for t in tables}
         parts = None
         if touched is not None:
-            named = [tuple(r) for r in touched.select(*chunks).distinct().collect()]
-            parts = ["/".join(f"{c}={v}" for c, v in zip(chunks, values)) for values in sorted(named)]
-        filled = any(x.startswith("c0=") for x in self.files.names(staged)) if parts is None else [p for p in parts if self.files.exists(f"{staged}/{p}")]
-        plan = {"staged": staged[len(self.path) + 1 :], "parts": parts, "filled": filled, "manifest": manifest.to_json()}
-        self.files.write(f"{self.path}/{JOURNAL}", json.dumps(plan))
+            named = {"/".join(f"{c}={v}" for c, v in zip(tiles, r)) for r in touched.select(*tiles).distinct().collect()}
+            parts = sorted(named.union(*filled.values()))
+        self.files.write(f"{self.path}/{JOURNAL}", json.dumps({"staged": staged, "parts": parts, "tables": filled, "manifest": m.to_json()}))
         self.recover()
 
+    def _stage(self, rows: DataFrame, name: str, tiles: list[str]) -> None:
+        rows.write.mode("overwrite").partitionBy(*tiles).parquet(f"{self.path}/{name}")
+
     def recover(self) -> None:
         """Carry out the journal of a write, as far as that was not done; each step may be done again."""
         journal = f"{self.path}/{JOURNAL}"
         if not self.files.has_text(journal):
             return
         plan = json.loads(self.files.read(journal))
-        where, staged = f"{self.path}/cells", f"{self.path}/{plan['staged']}"
-        if plan["parts"] is None:
-            if not plan["filled"]:
-                self.files.delete(where)
-            elif self.files.exists(staged):  # else it has been moved already
-                self.files.delete(where)
-                self.files.move(staged, where)
-        else:
-            filled = set(plan["filled"])
-            for part in plan["parts"]:
-                if part not in filled:
-                    self.files.delete(f"{where}/{part}")
-                elif self.files.exists(f"{staged}/{part}"):
-                    self.files.delete(f"{where}/{part}")
-                    self.files.move(f"{staged}/{part}", f"{where}/{part}")
+        for table, filled in plan["tables"].items():
+            where, staged = f"{self.path}/{table}", f"{self.path}/{plan['staged']}/{table}"
+            # A part that is no longer staged has been moved already.
+            for part, full in ((f"/{p}", p in filled) for p in plan["parts"]) if plan["parts"] is not None else [("", bool(filled))]:
+                if not full:
+                    self.files.delete(where + part)
+                elif self.files.exists(staged + part):
+                    self.files.delete(where + part)
+                    self.files.move(staged + part, where + part)
         self.files.write(f"{self.path}/{MANIFEST}", plan["manifest"])
-        self.files.delete(staged)
+        self.files.delete(f"{self.path}/{plan['staged']}")
         self.files.delete(f"{journal}.next")
         self.files.delete(journal)
 
-    # equality indexes: side tables sorted by value; they never change an answer
+    # equality indexes: side tables by tile, sorted by value inside one; they never change an answer
 
     def index_path(self, number: int) -> str:
         return f"{self.path}/index-{number}"
 
+    def _index_rows(self, cells: DataFrame, column: str, m: Manifest) -> DataFrame:
+        tiles = [f"c{i}" for i in range(self.chunk_axes(m.shape))]
+        rows = cells.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`.v").alias("value"), *m.shape.coords, *tiles)
+        return rows.hint("rebalance", *tiles).sortWithinPartitions(*tiles, "value")
+
     def build_index(self, key: str, manifest: Manifest) -> None:
-        grid = self.grid(manifest)
-        rows = grid.cells.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`.v").alias("value"), *grid.shape.coords)
-        rows.repartitionByRange("value").sortWithinPartitions("value").write.mode("overwrite").parquet(self.index_path(manifest.registry.live[key][1]))
+        number = manifest.registry.live[key][1]
+        tiles = [f"c{i}" for i in range(self.chunk_axes(manifest.shape))]
+        self._stage(self._index_rows(self.grid(manifest).cells, key, manifest), f"index-{number}", tiles)
+
+    def index(self, key: str, manifest: Manifest) -> DataFrame:
+        """(value, x0.., c0..) of an index."""
+        m, path = manifest, self.index_path(manifest.registry.live[key][1])
+        tiles = [f"c{i}" for i in range(self.chunk_axes(m.shape))]
+        schema = ", ".join([f"value {SQL_TYPES[m.registry.kind(key)]}", *(f"{c} int" for c in [*m.shape.coords, *tiles])])
+        return self.spark.read.schema(schema).parquet(path) if self._parts(path, 1) else self.spark.createDataFrame([], schema)
 
 
 class Root:
@@ -229,11 +265,11 @@ class Root:
     def names(self) -> list[str]:
         return [n for n in self.files.names(self.path) if NAME.fullmatch(n) and self.files.has_text(f"{self.path}/{n}/{MANIFEST}")]
 
-    def create(self, name: str, shape: Shape) -> Store:
+    def create(self, name: str, shape: Shape, tile: int | None = None) -> Store:
         store = Store(self.spark, self._checked(name))
         if self.files.has_text(f"{store.path}/{MANIFEST}"):
             raise Conflict(f"database {name!r} exists")
-        store.create_or_open(shape)
+        store.create_or_open(shape, tile)
         return store
 
     def open(self, name: str) -> Store:

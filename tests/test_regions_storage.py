@@ -114,6 +114,49 @@ def test_indexes_never_change_answers(catalog):
         db.query("DROP INDEX ON n")
 
 
+def test_tiles_are_bounded_by_default(catalog, tmp_path):
+    for shape in (Shape(), Shape(1), Shape(5, 10**6, 16), Shape(2, 10, 32), Shape(1, 1, 1)):
+        tile = storage.default_tile(shape)
+        assert tile % shape.chunk_dim == 0 and (-(-shape.world_dim // tile)) ** min(shape.axes, 2) <= storage.MAX_TILES
+    with pytest.raises(BadRequest):
+        catalog.create("bad", chunk_dim=32, tile_dim=48)
+    db = catalog.create("t", axes=3, chunk_dim=4, world_dim=1000)
+    edge = db.store.load().tile
+    assert edge > 4
+    db.query(f"SET (n=1) IN (-3,-3,0) TO ({edge + 1},2,2)")
+    assert {p.parent.parent.name + "/" + p.parent.name for p in (tmp_path / "root/t/cells").glob("c0=*/c1=*/part*")} == {f"c0={a}/c1={b}" for a in (-1, 0, 1) for b in (-1, 0)}
+    assert db.query("DELETE IN (0,0,0) TO (1,1,1)") == {"affected_cells": 1} and db.query("DELETE WHERE x0 < 0") == {"affected_cells": 30}
+    want = {(x, y, z) for x in range(edge + 1) for y in range(-3, 2) for z in range(2)} - {(0, 0, 0)}
+    assert set(rows(db.list_cells(), "x0", "x1", "x2")) == want
+    assert db.get((edge, 1, 1), "n") == 1 and db.query("SELECT count(*) FROM (0,0,0) TO (2,2,2)").first()[0] == 7
+
+
+@pytest.mark.parametrize("named", [256, 1, 0])
+def test_statements_read_the_tiles_that_indexes_name(catalog, monkeypatch, named):
+    monkeypatch.setattr(catalog_module, "MAX_NAMED_TILES", named)
+    plain, db = (catalog.create(n, axes=2, world_dim=200, chunk_dim=8) for n in ("plain", "indexed"))
+    for d in (plain, db):
+        d.catalog.clock = lambda: 5
+        d.query("SET (n=1, s='a') IN (0,0) TO (40,3)")
+        d.query("SET (n=2) IN (20,0) TO (24,2)")
+        d.query("UPDATE (s='b') WHERE x0 > 30")
+    db.query("CREATE INDEX ON n")
+    db.query("CREATE INDEX ON s")
+    wheres = ["n = 2", "n = 2.0 AND s = 'a'", "n = 2 OR s = 'b'", "n = 2 OR x1 = 1", "NOT n = 1", "n = 3", "n = 'x'", "n = 2 AND NOT (s = 'a' AND x0 = 21)", "s = 'b' AND x0 < 35 AND n >= 1"]
+    same = lambda: all(rows(plain.query(f"SELECT n WHERE {w}"), "x0", "x1") == rows(db.query(f"SELECT n WHERE {w}"), "x0", "x1") for w in wheres)
+    assert same()
+    for write in ("UPDATE (n=3) WHERE n = 2 AND x1 = 0", "DELETE WHERE s = 'b' AND x0 > 36", "SET (n=2, s='c') IN (60,0) TO (62,1)", "DELETE WHERE n = 3", "SET (s='b') WHERE n = 2 IN (0,0) TO (80,3)"):
+        assert plain.query(write) == db.query(write)
+    assert same() and plain.content_digest() == db.content_digest()
+    for key, value in (("n", 2), ("n", 3), ("s", "b"), ("s", "c")):
+        w = f"{key} = {value!r}"
+        assert rows(db.lookup_eq(key, value), "x0", "x1") == rows(plain.query(f"SELECT n WHERE {w}"), "x0", "x1")
+    report = db.sync_report(plain)
+    assert report["indexes_only_here"] == ["n", "s"] and report["indexes_only_there"] == [] and report["differing_chunks"].isEmpty()
+    plan = db.query("SELECT n WHERE s = 'b'")._jdf.queryExecution().executedPlan().toString()
+    assert ("c0" in plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]) == (named > 1), "matches stand in several tiles"
+
+
 def test_access_and_names(catalog, spark):
     catalog.create("d", axes=1)
     reader = Catalog(spark, catalog.root.path, read_only=True)
@@ -145,7 +188,7 @@ def test_digests(catalog):
 
 
 def test_box_reads_prune_directories(catalog):
-    db = catalog.create("p", axes=2, world_dim=1000, chunk_dim=8)
+    db = catalog.create("p", axes=2, world_dim=1000, chunk_dim=8, tile_dim=8)
     db.query("SET (n=1) IN (0,0) TO (64,2)")
     plan = db.query("SELECT n FROM (9,0) TO (12,1)")._jdf.queryExecution().executedPlan().toString()
     part = plan[plan.index("PartitionFilters") : plan.index("PushedFilters")]
@@ -172,7 +215,7 @@ def test_writes_rewrite_only_the_chunks_they_touch(catalog, tmp_path):
 def test_a_write_that_dies_is_whole_or_not_there(spark, tmp_path, monkeypatch, named):
     """The driver dies at one file operation of a write after the other (chunk by chunk, or the whole table); the next one to open sees the
     state before or after it."""
-    monkeypatch.setattr(catalog_module, "MAX_NAMED_CHUNKS", named)
+    monkeypatch.setattr(catalog_module, "MAX_NAMED_TILES", named)
     late = 0
     for fatal in range(0, 60, 3):
         at = f"file://{tmp_path}/{fatal}"
