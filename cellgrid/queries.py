@@ -80,7 +80,7 @@ simple("select_star_box", worlds.orders, "SELECT * FROM (100) TO (2000)", f"SELE
 simple("select_star", worlds.part, "SELECT size, retailprice", f"SELECT {PART} FROM part")
 simple("select_named_sparse", worlds.docs, "SELECT quality, toxic", f"SELECT {docs_sql('quality', 'toxic')} {DOCS_FROM}")
 simple("select_unknown_key", worlds.docs, "SELECT nothing, lang, lang", f"SELECT {docs_sql('lang')} {DOCS_FROM}")
-simple("select_inverted_box", worlds.orders, "SELECT status FROM (100) TO (50)", f"SELECT CAST(o_orderkey AS INT) AS x0, {keyed('status', 'o_orderstatus', ODATE)} FROM orders WHERE false")
+simple("select_inverted_box", worlds.orders, "SELECT status FROM (100) TO (50)", f"SELECT CAST(o_orderkey AS INT) AS x0, {keyed('status', 'o_orderstatus', ODATE)} FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 50")
 simple("point_get", worlds.orders, "SELECT totalprice FROM (7) TO (8)", f"SELECT CAST(o_orderkey AS INT) AS x0, {keyed('totalprice', 'o_totalprice', ODATE)} FROM orders WHERE o_orderkey = 7")
 
 
@@ -103,7 +103,7 @@ simple("where_ne_missing", worlds.docs, "SELECT quality WHERE quality != 1", f"S
 simple("where_not_eq_missing", worlds.docs, "SELECT quality WHERE NOT quality = 1", f"SELECT {docs_sql('quality')} {DOCS_FROM} WHERE NOT coalesce(quality = 1, false)")
 simple("where_cross_numeric", worlds.part, "SELECT size, retailprice WHERE size = 5.0 OR retailprice < 1000", f"SELECT {PART} FROM part WHERE p_size::DOUBLE = 5.0 OR p_retailprice < 1000.0")
 simple("where_bool_order", worlds.docs, "SELECT toxic WHERE toxic < TRUE", f"SELECT {docs_sql('toxic')} {DOCS_FROM} WHERE toxic = 0")
-simple("where_type_mismatch", worlds.orders, "SELECT status WHERE status > 5 OR priority = true OR custkey = 'a'", f"SELECT CAST(o_orderkey AS INT) AS x0, {keyed('status', 'o_orderstatus', ODATE)} FROM orders WHERE false")
+simple("where_type_mismatch", worlds.orders, "SELECT status WHERE status > 5 OR priority = true OR custkey = 'a'", f"SELECT CAST(o_orderkey AS INT) AS x0, {keyed('status', 'o_orderstatus', ODATE)} FROM orders WHERE typeof(o_orderstatus) IN ('BIGINT', 'DOUBLE') OR typeof(o_orderpriority) = 'BOOLEAN' OR typeof(o_custkey) = 'VARCHAR'")
 simple("where_not_mismatch", worlds.orders, "SELECT status WHERE NOT status > 5", f"SELECT CAST(o_orderkey AS INT) AS x0, {keyed('status', 'o_orderstatus', ODATE)} FROM orders")
 simple("where_axis", worlds.lineitem, "SELECT quantity WHERE x0 < 100 AND x3 >= 2.5", f"SELECT {LINE_X}, {keyed('quantity', 'l_quantity', SDATE)} FROM lineitem WHERE l_orderkey < 100 AND l_linenumber >= 2.5")
 simple("where_axis_out_of_range", worlds.lineitem, "SELECT quantity WHERE x7 = 1 OR x0 = 'a'", f"SELECT {LINE_X}, {keyed('quantity', 'l_quantity', SDATE)} FROM lineitem WHERE false")
@@ -306,7 +306,19 @@ CATALOGUE["vector_compare"] = (
     f"""WITH v AS (SELECT CAST(sum(greatest(coalesce(b.seq, 0) - coalesce(a.seq, 0), 0)) AS BIGINT) AS behind_by, CAST(sum(greatest(coalesce(a.seq, 0) - coalesce(b.seq, 0), 0)) AS BIGINT) AS ahead_by FROM {EARLY_SQL} a FULL JOIN {OTHER_SQL} b ON a.origin = b.origin)
     SELECT CASE WHEN behind_by = 0 AND ahead_by = 0 THEN 'in_sync' WHEN ahead_by = 0 THEN 'behind' WHEN behind_by = 0 THEN 'ahead' ELSE 'diverged' END AS state, behind_by, ahead_by FROM v""",
 )
-CATALOGUE["vector_covers"] = (lambda s, d: vector.covers(_vec(s, d), _vec(s, d, EARLY)), "SELECT true AS covers")
+
+
+def covers_sql(a: str, b: str) -> str:
+    return f"NOT EXISTS (SELECT 1 FROM {b} b LEFT JOIN {a} a ON a.origin = b.origin WHERE b.seq > coalesce(a.seq, 0)) AS covers"
+
+
+@add("vector_covers", f"SELECT 'all, early' AS pair, {covers_sql(VEC.format('true'), EARLY_SQL)} UNION ALL SELECT 'early, all', {covers_sql(EARLY_SQL, VEC.format('true'))} UNION ALL SELECT 'early, other', {covers_sql(EARLY_SQL, OTHER_SQL)}")
+def _covers(spark, sf):
+    whole, early, other = _vec(spark, sf), _vec(spark, sf, EARLY), _vec(spark, sf, OTHER)
+    told = [vector.covers(a, b).select(F.lit(pair).alias("pair"), "covers") for pair, a, b in (("all, early", whole, early), ("early, all", early, whole), ("early, other", early, other))]
+    return told[0].union(told[1]).union(told[2])
+
+
 CATALOGUE["changes_since"] = (
     lambda s, d: vector.changes_since(worlds.event_changes(s, d), _vec(s, d, EARLY).where("origin = 2")).select("x0", "key", "origin", "seq"),
     f"WITH {CHANGES} SELECT x0, key, origin, seq FROM changes WHERE origin = 1 OR seq > (SELECT max(seq) FROM changes WHERE seq <= 500 AND origin = 2)",
@@ -336,11 +348,16 @@ def _drilldown(spark, sf):
     return digest.differing_chunks(digest.chunk_digests(grid), digest.chunk_digests(other))
 
 
-@add("digest_order_free", "SELECT true AS equal")
+@add("digest_order_free", """WITH g AS (SELECT p_partkey, p_size FROM part), changed AS (SELECT p_partkey, CASE WHEN p_partkey = 7 THEN p_size + 1 ELSE p_size END AS p_size FROM part)
+    SELECT 'reordered' AS what, NOT EXISTS (SELECT * FROM g EXCEPT SELECT * FROM g ORDER BY p_partkey DESC) AS equal UNION ALL SELECT 'one value changed', NOT EXISTS (SELECT * FROM g EXCEPT SELECT * FROM changed)""")
 def _digest(spark, sf):
     grid = worlds.part(spark, sf)
-    shuffled = Grid(grid.shape, grid.registry, grid.cells.orderBy(F.desc("x0")))
-    return digest.content_digest(grid).join(digest.content_digest(shuffled).withColumnRenamed("digest", "d")).select((F.col("digest") == F.col("d")).alias("equal"))
+    other = grid.cells.withColumn("size", F.when(F.col("x0") == 7, F.col("size").withField("v", F.col("size.v") + 1)).otherwise(F.col("size")))
+    told = []
+    for what, cells in (("reordered", grid.cells.orderBy(F.desc("x0"))), ("one value changed", other)):
+        both = digest.content_digest(grid).union(digest.content_digest(Grid(grid.shape, grid.registry, cells)))
+        told.append(both.agg((F.count_distinct("digest") == 1).alias("equal")).select(F.lit(what).alias("what"), "equal"))
+    return told[0].union(told[1])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
