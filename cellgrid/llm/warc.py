@@ -12,7 +12,8 @@ where nothing is repeated no page is shuffled. Each task writes the pages it has
 the sample fills is kept with it and written first. The dictionary is trained on this documented, bounded sample.
 
 A task writes to a name of its own and renames it at the end, so a repeated or speculative attempt replaces
-the archive by an equal one. Archives go to the shared folder of the cluster by the file system that its
+the archive by an equal one; an attempt that fails deletes what it began (one whose executor is lost leaves a
+``.<hex>`` file, which no reader looks at). Archives go to the shared folder of the cluster by the file system that its
 address names (pyarrow.fs); the table of archives that write_archives returns is itself kept there.
 
 Defined results: null html is an empty payload; payloads shorter than ``min_bytes`` are responses always; of equal
@@ -23,6 +24,7 @@ null page ids are written with an empty id, never first unless no other has the
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import io
 import struct
@@ -163,7 +165,8 @@ def _write(folder: str):
             except OSError:  # an earlier attempt has put the same archive there
                 system.delete_file(temp)
 
-        for batch in batches:
+        def told(batch: pa.RecordBatch) -> None:
+            nonlocal writer, file, temp
             for page, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first"))):
                 if not made or made[-1][1] == ARCHIVE_RECORDS:
                     if made:
@@ -174,8 +177,19 @@ def _write(folder: str):
                     writer = Writer(file)
                 writer.add(record(page, url, (html or "").encode("utf-8", "surrogatepass"), first))
                 made[-1][1] += 1
-        if made:
-            finish()
+
+        try:
+            for batch in batches:
+                told(batch)
+            if made:
+                finish()
+        except BaseException:  # the attempt that follows writes all anew; what this one began is no archive
+            if file is not None:
+                with contextlib.suppress(Exception):
+                    file.close()
+                with contextlib.suppress(Exception):
+                    system.delete_file(temp)
+            raise
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], names=["name", "records"])
 
     return part

@@ -126,6 +126,36 @@ def test_archive_is_standard(tmp_path):
     assert raws[0].startswith(b"WARC/1.1\r\nWARC-Type: revisit") and b"WARC-Refers-To: <urn:page:7>" in raws[0]
 
 
+def test_dictionary_makes_archives_smaller():
+    import io
+
+    raws = [warc.record(i, f"http://h{i % 9}.example/{i}", f"<html><head><title>Page {i}</title></head><body><nav>home news about</nav><p>{' '.join(f'w{(i * j) % 997}' for j in range(60))}</p></body></html>".encode(), None) for i in range(600)]
+    out = io.BytesIO()
+    w = warc.Writer(out)
+    for r in raws:
+        w.add(r)
+    w.close()
+    plain = sum(len(zstandard.ZstdCompressor(level=warc.LEVEL).compress(r)) for r in raws)
+    assert list(warc.records(io.BytesIO(out.getvalue()))) == raws and len(out.getvalue()) < 0.8 * plain
+
+
+def test_attempt_that_fails_leaves_no_file(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 0)
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["http://a/", None], "html": ["<p>x</p>", None], "first": pa.array([None, None], pa.int64())})
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(warc, "TaskContext", Task)
+    with pytest.raises(RuntimeError):
+        list(warc._write(f"file://{tmp_path}/w")(batches()))
+    assert list((tmp_path / "w").iterdir()) == []
+
+
 def test_no_pages(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(empty, f"file://{tmp_path}/w")).count() == 0
