@@ -75,7 +75,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import perspectives
 
-    return perspectives(table(spark, sf_dir, "conversations"))
+    return perspectives(table(spark, sf_dir, "conversations"), pieces=False)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,14 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellgrid.llm import chat, language_id, mixing, quality
+from cellgrid.llm import chat, language_id, mixing, quality, queries
+
+from ..duck import compare
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile("[^ \t\n\x0b\x0c\r]+")
@@ -373,3 +376,23 @@ def test_one_conversation_of_many_turns(spark):
     for r in got:
         a, b = map(int, r.mask.split(":"))
         assert r.text[a:b] == f"t{r.speaker[1:]}<|end|>"
+
+
+@pytest.mark.parametrize("render", [None, 2000, 1])
+def test_dialogues_of_the_query_are_whole_at_any_size(spark, monkeypatch, tmp_path, render):
+    """More than 256 turns, more than 1 MB, a speaker a turn: one row a participant, as in the SQL, rendered at once or block by block."""
+    if render:
+        monkeypatch.setattr(chat, "RENDER_BYTES", render)
+    rows = ODD_TURNS + [(4, i // 2, ("ann", "bob", "é<|", None, "")[i * i % 5], f"é{i % 7}" * (i % 9)) for i in range(300)] + [(None, i % 50, f"n{i % 3}", None) for i in range(257)]
+    rows += [(5, None, "c", "x" * 1_200_000), (5, 1, "d", "y"), (5, 2, "c", "z")] + [(6, i, f"s{i}", f"t{i}") for i in range(260)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(f"{tmp_path}/conversations.parquet")
+    df = queries.op8_chat(spark, str(tmp_path))
+    got = {}
+    for r in df.collect():
+        assert (r.conv_id, r.speaker, r.piece) not in got
+        got[r.conv_id, r.speaker, r.piece] = r.text, [r.text[a:b] for a, b in (map(int, s.split(":")) for s in r.mask.split(",") if s)], r.n_turns, r.n_context
+    safe = [(c, t, role and role.replace("<|", "<\\|"), text) for c, t, role, text in rows]
+    assert got == rendered(safe, whole=len(rows)) and len(got) > 260
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    compare(df, con, queries.oracle_sql()["op8_chat"])
